@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name, and the module that holds the function of that name.
 _MODULES = {
     "op4_near_dedup": "near_dedup",
+    "op6_language": "lang_id",
     "op8_packing": "packing",
     "op9_token_counts": "token_counts",
     "op10_html_text": "html_text",
