@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _MODULES = {
     "op4_near_dedup": "near_dedup",
     "op6_language": "lang_id",
+    "op7_secrets": "secret_scan",
     "op8_packing": "packing",
     "op9_token_counts": "token_counts",
     "op10_html_text": "html_text",
