@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Query name, and the module that holds the function of that name.
 _MODULES = {
+    "op1_fingerprints": "fingerprints",
     "op4_near_dedup": "near_dedup",
+    "op5_sharding": "sharding",
     "op6_language": "lang_id",
     "op7_secrets": "secret_scan",
     "op8_packing": "packing",
