@@ -334,8 +334,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     Two documents are linked if den * |intersection| >= num * |union| of their shingle sets.
     component_id is the smallest doc_id that links reach, kept says whether it is the row's own.
     Texts that are null or have no words have no shingles, link with nothing and are kept.
-    Repeated rows get equal answers. Rows without a doc_id have component_id null and are not
-    kept unless their text is empty. Other columns of df are ignored.
+    Repeated rows get equal answers. Rows without a doc_id can't be named: they link with nothing,
+    their component_id is null and they are kept. Other columns of df are ignored.
     """
     spark = ship_code(df.sparkSession)
     if agree is None:
@@ -355,8 +355,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         if not more.isEmpty():
             comps = cut(components(links.union(more)))
     by_set = classes.join(comps, F.col("rep") == F.col("node"), "left").select("set_id", F.coalesce("component", "rep").alias("linked"))
-    out = features.join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("linked", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), (F.col("n_shingles") == 0)))
+    out = features.join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("linked", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

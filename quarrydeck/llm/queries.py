@@ -7,10 +7,14 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import topk_search
+
 #: Query name, and the module that holds the function of that name.
 _MODULES = {
     "op1_fingerprints": "fingerprints",
     "op4_near_dedup": "near_dedup",
+    "op2_mixing": "mixing",
+    "op3_topk": "topk_search",
     "op5_sharding": "sharding",
     "op6_language": "lang_id",
     "op7_secrets": "secret_scan",
@@ -19,7 +23,7 @@ _MODULES = {
     "op10_html_text": "html_text",
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_topk": topk_search.ORACLE}
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:

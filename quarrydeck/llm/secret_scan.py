@@ -112,16 +112,35 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, key: str = "doc_i
     return scanned.dropDuplicates(["blob"])
 
 
-def report(versions: DataFrame, ledger: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, blob and findings (in order of start, then of the rules) of every row of versions."""
+#: Findings up to which their table is broadcast (at most some 100 MB); beyond, a shuffle join is used.
+BROADCAST_FINDINGS = 1_000_000
+
+
+def report(versions: DataFrame, ledger: DataFrame, text: str = "text") -> DataFrame:
+    """versions with columns _blob and _hits: the ledger's findings in each row's text, by start, then in order of the rules."""
     rank = F.lit(len(RULES))
     for k, r in reversed(list(enumerate(RULES))):
         rank = F.when(F.col("f.kind") == r.kind, k).otherwise(rank)
-    hits = ledger.where(F.size("findings") > 0).select("blob", F.explode("findings").alias("f")).select("blob", F.struct(F.col("f.start"), rank.alias("place"), F.col("f.end"), F.col("f.kind")).alias("h"))
-    by_blob = hits.groupBy("blob").agg(F.array_sort(F.collect_set("h")).alias("hits"))
-    rows = with_blob(versions.select(F.col(key), F.col(text)), text).drop(text)
+    hits = ledger.where(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.explode("findings").alias("f")).select("_blob", F.struct(F.col("f.start"), rank.alias("place"), F.col("f.end"), F.col("f.kind")).alias("h"))
+    by_blob = hits.groupBy("_blob").agg(F.array_sort(F.collect_set("h")).alias("_hits"))
+    if hits.count() <= BROADCAST_FINDINGS:
+        by_blob = F.broadcast(by_blob)
     none = F.array().cast("array<struct<start:long,place:int,end:long,kind:string>>")
-    return rows.join(by_blob, "blob", "left").withColumn("hits", F.coalesce("hits", none))
+    return with_blob(versions, text, "_blob").join(by_blob, "_blob", "left").withColumn("_hits", F.coalesce("_hits", none))
+
+
+def redacted(text: Column, hits: Column, mask: str = "[secret]") -> Column:
+    """The text with every hit, and overlapping hits together, replaced by a mask; null stays null."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(acc, h):
+        gap = F.substring(text, (acc["at"] + 1).cast("int"), (h["start"] - acc["at"]).cast("int"))
+        fresh = F.struct(h["end"].alias("at"), F.concat(acc["out"], gap, F.lit(mask)).alias("out"))
+        longer = F.struct(F.greatest(h["end"], acc["at"]).alias("at"), acc["out"].alias("out"))
+        return F.when((h["start"] >= acc["at"]) & ((h["start"] > 0) | (acc["at"] == 0)), fresh).otherwise(longer)
+
+    done = F.aggregate(hits, start, step)
+    return F.when(F.size(hits) == 0, text).otherwise(F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text))))
 
 
 def _joined(hits: Column) -> Column:
@@ -132,6 +151,6 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = cut(scan(docs))
-    base = F.filter("hits", lambda h: h["kind"].isin(*[r.kind for r in BASE]))
-    count = lambda kind: F.size(F.filter("hits", lambda h: h["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return report(docs, ledger).select("doc_id", *[count(r.kind) for r in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("hits")).alias("spans"), "blob")
+    base = F.filter("_hits", lambda h: h["kind"].isin(*[r.kind for r in BASE]))
+    count = lambda kind: F.size(F.filter("_hits", lambda h: h["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return report(docs, ledger).select("doc_id", *[count(r.kind) for r in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("_hits")).alias("spans"), F.col("_blob").alias("blob"))
