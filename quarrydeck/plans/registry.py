@@ -23,9 +23,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    """The modules whose queries are registered."""
+    from . import corpus, relational  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
