@@ -1,14 +1,14 @@
 """Sharding by balanced label propagation, in DataFrame functions alone.
 
 Linked documents start with the shard of their smallest neighbour. In each round every linked
-document counts the shards of its neighbours and asks for the one that gains it most links; a
-shard accepts no more documents than it has room for, those with the largest gain first. Shards
-hold at most floor(N / shards) linked documents at any time; documents without links then fill
-all shards so that their sizes differ by at most one.
+document counts the shards of its neighbours and asks for the one that gains it most links.
+Between two shards as many may go each way as come back, and more while there is room, those
+with the largest gain first. Shards hold at most floor(N / shards) linked documents at any time;
+documents without links then fill all shards so that their sizes differ by at most one.
 
 Ranks within a shard are counted in LEAD * TAIL parts of it, each numbered on its own and moved
 up by the sizes of the parts before it, so that no task holds a shard. Only sizes of shards
-reach the driver, and only tables of parts (at most shards * LEAD * TAIL rows) are broadcast.
+reach the driver, and only tables of parts (at most shards ** 2 * LEAD * TAIL rows) are broadcast.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .common import cut, table
 
 SHARDS = 16
-ROUNDS = 3
+ROUNDS = 8
 LEAD, TAIL = 64, 32
 
 
@@ -66,6 +66,19 @@ def _capped(df: DataFrame, shards: int, cap: int) -> DataFrame:
     return placed.where(F.col("rank") < cap).select("row", "shard").union(moved)
 
 
+def _quotas(asked: dict[int, int], rooms: list[int]) -> list[int]:
+    """How many may go each way (from * shards + to): as many as come back, and more while the target has room."""
+    n = len(rooms)
+    quota = [0] * (n * n)
+    for way, count in sorted(asked.items()):
+        i, j = divmod(way, n)
+        quota[way] = min(count, asked.get(j * n + i, 0))
+        extra = min(count - quota[way], rooms[j])
+        quota[way] += extra
+        rooms[j] -= extra
+    return quota
+
+
 def balanced_labels(rows: DataFrame, edges: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """row, shard (0 to shards - 1) for each row, counts at most one apart, few edges cut.
 
@@ -77,17 +90,19 @@ def balanced_labels(rows: DataFrame, edges: DataFrame, shards: int = SHARDS, rou
     start = both.groupBy(F.col("src").alias("row")).agg(F.least(F.col("src"), F.min("dst")).alias("seed"))
     linked = start.withColumn("shard", F.pmod(F.xxhash64("seed"), shards).cast("int"))
     labels = cut(_capped(cut(linked), shards, cap))
-    for _ in range(rounds):
-        rooms = [max(0, cap - c) for c in _counts(labels, shards)]
+    for turn in range(rounds):
+        counts = _counts(labels, shards)
         votes = both.join(labels.select(F.col("row").alias("dst"), F.col("shard").alias("to")), "dst").groupBy(F.col("src").alias("row"), "to").count()
         mine = votes.join(labels, "row")
-        asks = mine.groupBy("row").agg(F.max(F.struct("count", (-F.col("to")).alias("to"))).alias("best"), F.coalesce(F.max(F.when(F.col("to") == F.col("shard"), F.col("count"))), F.lit(0)).alias("now"))
-        asks = asks.select("row", (-F.col("best.to")).cast("int").alias("to"), (F.col("best.count") - F.col("now")).alias("gain")).where("gain > 0")
-        order = ranked(asks, "to", F.greatest(F.lit(0), F.lit(LEAD - 1) - F.col("gain")), _spread(F.xxhash64("row"), TAIL))
-        room = F.element_at(F.array(*[F.lit(r) for r in rooms]), F.col("to") + 1)
-        moves = cut(order.where(F.col("rank") < room).select("row", "to"))
-        if moves.isEmpty():
+        asks = mine.groupBy("row", "shard").agg(F.max(F.struct("count", (-F.col("to")).alias("to"))).alias("best"), F.coalesce(F.max(F.when(F.col("to") == F.col("shard"), F.col("count"))), F.lit(0)).alias("now"))
+        asks = cut(asks.select("row", "shard", (-F.col("best.to")).cast("int").alias("to"), (F.col("best.count") - F.col("now")).alias("gain")).where("gain > 0"))
+        if asks.isEmpty():
             break
+        # half of them ask in a round, so that neighbours don't change places for ever
+        asks = asks.where(F.pmod(F.xxhash64("row", F.lit(turn)), 2) == 0).withColumn("way", F.col("shard") * shards + F.col("to"))
+        quota = _quotas({r["way"]: r["count"] for r in asks.groupBy("way").count().collect()}, [max(0, cap - c) for c in counts])
+        order = ranked(asks, "way", F.greatest(F.lit(0), F.lit(LEAD - 1) - F.col("gain")), _spread(F.xxhash64("row"), TAIL))
+        moves = order.where(F.col("rank") < F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("way") + 1)).select("row", "to")
         labels = cut(labels.join(moves, "row", "left").select("row", F.coalesce("to", "shard").cast("int").alias("shard")))
     counts = _counts(labels, shards)
     rooms = [cap + (k < n % shards) - c for k, c in enumerate(counts)]
