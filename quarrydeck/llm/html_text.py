@@ -37,6 +37,8 @@ NAMES = frozenset(
     comment comments respond reply replies discussion disqus feedback share sharing social related recommended recommendations trending newsletter subscribe subscription signup login search
     contentinfo complementary tags byline hidden""".split()
 )
+#: Beginnings of such words.
+STEMS = ("comment", "advert", "adsby", "sponsor", "cookie", "newsletter", "sidebar", "breadcrumb", "navig", "footer")
 MAIN_NAMES = frozenset("article content main post entry story body text".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>?", re.S)
@@ -60,7 +62,7 @@ class _Frame:
             names.update(_SPLIT.split(_CAMEL.sub("-", a or b or c).lower()))
         if self.main or names & MAIN_NAMES:
             names.discard("header")  # the head of an article is part of it
-        if names & NAMES and tag not in ("body", "html", "article", "main"):
+        if (names & NAMES or any(n.startswith(STEMS) for n in names)) and tag not in ("body", "html", "article", "main"):
             self.named = True
         elif names & MAIN_NAMES:
             self.named_main = True

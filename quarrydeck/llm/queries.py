@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import topk_search
+from . import oracles
 
 #: Query name, and the module that holds the function of that name.
 _MODULES = {
@@ -23,7 +23,7 @@ _MODULES = {
     "op10_html_text": "html_text",
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_topk": topk_search.ORACLE}
+ORACLE_SQL: dict[str, str] = oracles.SQL
 
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
