@@ -228,6 +228,23 @@ class CodeMap:
 
         return audit.lanes(audit.risks(self.ranked))
 
+    def inventory(self, boundary: str) -> DataFrame:
+        """what, path, detail of a boundary: files that import it, constructors in them, their effects, and tests beside them."""
+        inside = self.ranked.where(F.array_contains(F.transform("boundaries", lambda b: F.lower(b)), boundary.lower())).select("path", "folder")
+        files = inside.select(F.lit("file").alias("what"), "path", F.lit("").alias("detail"))
+        made = self.symbols.where("exported").where(F.col("name").rlike("^(New|Open|Create|Connect|Init)|^__init__$")).join(inside.select("path"), "path", "left_semi").select(F.lit("constructor").alias("what"), "path", F.col("name").alias("detail"))
+        does = self.effects().join(inside.select("path"), "path", "left_semi").select(F.lit("effect").alias("what"), "path", F.concat_ws(" ", "kind", "name").alias("detail")).distinct()
+        tests = self.ranked.where(classify.is_test_file(F.col("path"))).join(inside.select("folder").distinct(), "folder", "left_semi").select(F.lit("test").alias("what"), "path", F.lit("").alias("detail"))
+        return files.union(made).union(does).union(tests)
+
+    def brief(self, files: int = 20) -> DataFrame:
+        """what, detail of a short digest: the main language, the number of files and symbols, the first files and the largest folders."""
+        count = lambda df, what: df.agg(F.count(F.lit(1)).cast("string").alias("detail")).select(F.lit(what).alias("what"), "detail")
+        lang = self.ranked.groupBy("language").count().orderBy(F.desc("count"), "language").limit(1).select(F.lit("language").alias("what"), F.col("language").alias("detail"))
+        first = self.top(files).select(F.lit("file").alias("what"), F.col("path").alias("detail"))
+        owners = self.ownership().select(F.lit("folder").alias("what"), F.concat_ws(" ", "folder", F.col("score").cast("string")).alias("detail"))
+        return lang.union(count(self.ranked, "files")).union(count(self.symbols, "symbols")).union(first).union(owners)
+
     def levels(self, max_tokens: int) -> DataFrame:
         """path, rank, level: how much of each file fits into a token budget."""
         ranked = joins.ranked(self.ranked.select("path", "score"), [F.desc("score"), "path"])

@@ -73,6 +73,13 @@ def test_queries(code):
     assert code.effects().count() >= 1 and code.surface().count() >= 1
 
 
+def test_inventory_and_brief(code):
+    got = {tuple(r) for r in code.inventory("postgres").collect()}
+    assert {("file", "store/store.go", ""), ("constructor", "store/store.go", "OpenStore"), ("test", "store/store_test.go", "")} <= got
+    brief = [tuple(r) for r in code.brief(2).collect()]
+    assert ("language", "go") in brief and ("files", str(len(FILES))) in brief and ("file", "main.go") in brief
+
+
 def test_levels_and_rendering(code):
     levels = code.levels(400)
     assert {r["level"] for r in levels.collect()} <= {-1, 0, 1, 2} and levels.count() == len(FILES)

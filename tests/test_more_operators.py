@@ -72,3 +72,27 @@ def test_summaries(spark):
     assert dict(rows(summaries.hygiene(t, t.limit(0), t.limit(1)))) == {"tracked": 2, "untracked": 0, "ignored": 1, "tracked_but_ignored": 1}
     f = spark.createDataFrame([("b", 1, "k", "review", "x" * 300), ("a", 2, "k", "safe", "y"), ("a", 1, "k", "review", "z")], "file string, line int, kind string, action string, snippet string")
     assert [(r["file"], len(r["snippet"])) for r in summaries.triage(f).collect()] == [("a", 1), ("b", 200)]
+
+
+def test_change_plan(spark):
+    from quarrydeck.plans.change_plan import plan
+
+    changed = spark.createDataFrame([("src/a.go",), ("src/a_test.go",), ("lib/b.go",), ("README.md",), ("plugins/x/p.go",), ("plugins/y/q.go",)], "path string")
+    depends = spark.createDataFrame([("src/a.go", "lib/b.go"), ("plugins/x/p.go", "plugins/y/q.go"), ("src/a.go", "gone.go")], "src string, dst string")
+    deltas = spark.createDataFrame([("src/a.go", "Run", "added", False), ("lib/b.go", "Old", "removed", True)], "path string, name string, change string, breaking boolean")
+    got = {r["group"]: r for r in plan(changed, depends, deltas).collect()}
+    assert sorted(got) == ["README.md", "lib/b.go", "plugins/x/p.go", "plugins/y/q.go"]
+    g = got["lib/b.go"]
+    assert g["paths"] == ["lib/b.go", "src/a.go", "src/a_test.go"] and g["type"] == "feat" and g["breaking"] and g["subject"] == "feat: add 1 symbols, drop 1"
+    assert got["README.md"]["type"] == "docs" and got["plugins/x/p.go"]["scope"] == "x"
+
+
+def test_overrides_and_coverage(spark):
+    from quarrydeck.functions import parsing
+    from quarrydeck.operators.budget import apply_overrides
+
+    levels = spark.createDataFrame([("a/x.go", 1, 0), ("b/y.go", 2, 1)], "path string, rank int, level int")
+    rules = spark.createDataFrame([("^a/.*$", 2), ("^zzz$", -1)], "pattern string, forced int")
+    assert rows(apply_overrides(levels, rules)) == [("a/x.go", 1, 2), ("b/y.go", 2, 1)]
+    files = spark.createDataFrame([("a.go", "go", "package a\n"), ("b.zig", "zig", "x")], "path string, language string, content string")
+    assert rows(parsing.coverage(files, parsing.parsed_files(files))) == [("go", 1, 1, 0), ("zig", 1, 0, 1)]
