@@ -32,7 +32,7 @@ LANGUAGES = 256
 SAMPLE_CHARS = 20_000
 ROUNDS = 3
 LONGEST = 16
-MEMO = 400_000
+MEMO = 200_000
 #: Longer words are scored in stretches of this many code points.
 STRETCH = 48
 
