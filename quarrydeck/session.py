@@ -18,6 +18,7 @@ def local_session(cpus: int | str = 8, app: str = "quarrydeck", **conf: str) ->
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("QUARRYDECK_DRIVER_MEMORY", "8g"))
@@ -29,8 +30,14 @@ def local_session(cpus: int | str = 8, app: str = "quarrydeck", **conf: str) ->
     return spark
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: a worker's memory is a few batches of texts.
+BATCH_ROWS = 1000
+
+
 def ship_code(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, wherever the driver was started from."""
+    """Let Python workers import this package, wherever the driver was started from, and bound their batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
