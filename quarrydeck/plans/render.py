@@ -58,3 +58,35 @@ def bounded(raw: str, max_lines: int, max_bytes: int) -> str:
     if len(data) > max_bytes:
         kept = data[:max_bytes].decode("utf-8", "ignore")
     return kept if kept == raw else f"{kept}\n... {len(raw.encode()) - len(kept.encode())} bytes left out"
+
+
+def with_callers(blocks: DataFrame, callers: DataFrame) -> DataFrame:
+    """blocks with a line for each called symbol: its callers at hand and how many there are in all. callers: see operators.callers.callers_of."""
+    seen = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("caller_path", "caller_line"))), lambda c: F.concat(c["caller_path"], F.lit(":"), c["caller_line"].cast("string"))), ", ")
+    by_symbol = callers.groupBy("path", "name").agg(seen.alias("seen"), F.max("total").alias("total"))
+    line = F.format_string("  %s called by %s (%d)", "name", "seen", "total")
+    lines = by_symbol.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+    return blocks.join(lines, "path", "left").select("path", "rank", F.concat_ws("\n", "block", "lines").alias("block"))
+
+
+def evidence(ranked: DataFrame) -> DataFrame:
+    """path, relation, class, n, caveat: what a file's place in the ranking rests on."""
+    row = lambda cond, relation, kind, n, caveat: F.when(cond, F.struct(F.lit(relation).alias("relation"), F.lit(kind).alias("class"), n.cast("long").alias("n"), F.lit(caveat).alias("caveat")))
+    found = F.array_compact(
+        F.array(
+            row(F.col("imported_by") > 0, "imported_by", "structural", F.col("imported_by"), "by the names of imports"),
+            row(F.col("depends_on") > 0, "depends_on", "structural", F.col("depends_on"), "by the names of imports"),
+            row(F.size("boundaries") > 0, "boundaries", "structural", F.size("boundaries"), "by import prefixes"),
+            row(F.col("intra_refs") > 0, "mentions", "lexical", F.col("intra_refs"), "by equal words, which may mean other things"),
+            row(F.col("untested"), "untested", "heuristic", F.lit(1), "no test file in the folder"),
+        )
+    )
+    return ranked.select("path", F.explode(found).alias("e")).select("path", "e.*")
+
+
+def source_lines(levels: DataFrame, symbols: DataFrame, files: DataFrame, most: int = 60) -> DataFrame:
+    """path, rank, line, text: the first lines of the exported declarations of files shown in detail, at most ``most`` of each."""
+    spans = symbols.where("exported").select("path", F.col("line").alias("first"), F.least("end_line", F.col("line") + most - 1).alias("last"))
+    shown = levels.where("level >= 2").select("path", "rank").join(files.select("path", F.split("content", "\n").alias("ls")), "path").join(spans, "path")
+    rows = shown.select("path", "rank", F.explode(F.sequence("first", "last")).alias("line"), "ls")
+    return rows.select("path", "rank", "line", F.rtrim(F.get("ls", F.col("line") - 1)).alias("text")).distinct()

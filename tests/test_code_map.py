@@ -91,6 +91,18 @@ def test_levels_and_rendering(code):
     assert render.bounded("a\nb\nc", 2, 100).startswith("a\nb\n...")
 
 
+def test_callers_evidence_and_lines(spark, code):
+    from quarrydeck.operators.callers import callers_of
+
+    calls = spark.createDataFrame([("store/store.go", "", "OpenStore", "main.go", 12)], "callee_path string, callee_receiver string, callee_name string, caller_path string, caller_line int")
+    blocks = render.with_callers(render.file_blocks(code.levels(4000), code.symbols), callers_of(code.symbols, calls))
+    assert "OpenStore called by main.go:12 (1)" in {r["path"]: r["block"] for r in blocks.collect()}["store/store.go"]
+    seen = {(r["path"], r["relation"]) for r in render.evidence(code.ranked).collect()}
+    assert {("store/store.go", "imported_by"), ("main.go", "boundaries"), ("web/app.ts", "depends_on")} <= seen
+    lines = render.source_lines(code.levels(4000), code.symbols, code.files)
+    assert "func OpenStore(name string) (*Store, error) {" in {r["text"] for r in lines.collect()}
+
+
 def test_serving(code):
     asks = ['{"id":1,"method":"map.find","params":{"name":"OpenStore"}}', '{"id":2,"method":"nope"}', '{"id":3,"method":"map.impact"}', "broken"]
     out = [json.loads(x) for x in serve.answer(code, asks)]
