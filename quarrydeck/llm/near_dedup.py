@@ -231,8 +231,11 @@ def _leaders(members: DataFrame, num: int, den: int) -> DataFrame:
     close = F.lit(den) * F.least("n", "lead_n") >= F.lit(num) * F.greatest("n", "lead_n")
     pairs = cut(members.join(head, "key").where((F.col("rep") != F.col("lead")) & close).select("lead", "rep").distinct())
     sizes = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("rep"), "parts").cast("int")
-    dealt = pairs.join(sizes, "lead").select(F.col("rep"), F.xxhash64("lead", part).alias("unit"), F.lit(1).alias("side"), F.col("rep").alias("label"))
+    large = sizes.where("parts > 1")  # one row at most for BLOCK pairs; the pairs of such leaders aren't shuffled by them
+    if large.count() <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    part = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = pairs.join(large, "lead", "left").select(F.col("rep"), F.xxhash64("lead", part).alias("unit"), F.lit(1).alias("side"), F.col("rep").alias("label"))
     heads = sizes.select(F.col("lead").alias("rep"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "lead")
     return dealt.union(heads.select("rep", F.xxhash64("lead", "part").alias("unit"), F.lit(0).alias("side"), F.col("rep").alias("label")))
 
