@@ -55,6 +55,7 @@ def bm25(post: DataFrame, terms: list[str], exact: bool = False) -> DataFrame:
     """path, bm25 of the files that match any term: the terms' scores and a bonus for each pair of neighbours that both match."""
     if not terms:
         return post.sparkSession.createDataFrame([], "path string, bm25 double")
+    post = post.persist()  # read for lengths, document counts and the terms' postings
     stats = F.broadcast(corpus_stats(post))
     dl = post.groupBy("path").agg(F.sum("tf").alias("dl"))
     asked = post.sparkSession.createDataFrame([(i, t) for i, t in enumerate(terms)], "pos int, term string")
