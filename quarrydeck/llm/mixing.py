@@ -40,14 +40,14 @@ _SIGNS = re.compile(r"[^\w\s]")
 
 
 def features(text: str | None) -> tuple[np.ndarray, int]:
-    """The hashed features that a text has (distinct words, and bins of some shares), and its words."""
+    """The hashed features that a text has (distinct words, and bins of some shares of the whole text), and its words."""
     ws = text.split() if text else []
     if not ws:
         return np.zeros(0, np.int64), 0
     distinct = set(ws)
     n = len(ws)
-    signs = len(_SIGNS.findall(text[:20_000])) / min(len(text), 20_000)
-    upper = sum(w.isupper() for w in ws[:2000]) / min(n, 2000)
+    signs = len(_SIGNS.findall(text)) / len(text)
+    upper = sum(w.isupper() for w in ws) / n
     bins = [f"\0signs{int(20 * signs)}", f"\0upper{int(10 * upper)}", f"\0distinct{int(10 * len(distinct) / n)}", f"\0words{n.bit_length()}"]
     mask = (1 << BITS) - 1
     ids = {zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) & mask for w in distinct}

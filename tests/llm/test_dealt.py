@@ -200,6 +200,15 @@ def test_classifier_learns_and_mixing_copies(spark):
     assert mixing.mixed(docs, lab.limit(0)).count() == 400
 
 
+def test_features_see_the_whole_text():
+    mask = (1 << mixing.BITS) - 1
+    has = lambda t, b: zlib.crc32(f"\0{b}".encode()) & mask in mixing.features(t)[0]
+    t = "quiet words " * 3000 + "SHOUTED " * 6000
+    assert has(t, "upper5") and not has(t, "upper0")
+    t = "quiet words " * 2500 + "!" * 30_000
+    assert has(t, "signs10") and not has(t, "signs0")
+
+
 def test_mixing_query(spark, folder):
     got = mixing.op2_mixing(spark, folder).collect()
     assert len(got) == len(corpus())
