@@ -41,8 +41,11 @@ NAMES = frozenset(
 STEMS = ("comment", "advert", "adsby", "sponsor", "cookie", "newsletter", "sidebar", "breadcrumb", "navig", "footer")
 MAIN_NAMES = frozenset("article content main post entry story body text".split())
 
-#: A comment, CDATA, a declaration, a tag with well-formed attributes, or anything else that begins like a tag. Possessive and bounded, so that broken markup costs no backtracking.
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]{0,4000}"|'[^']{0,4000}')*+)>|<(/?)([a-zA-Z][^\s/<>]*+)[^<>]*+>?""", re.S)
+#: A comment, CDATA, a declaration, or the beginning of a tag with its name.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/<>]*+)""", re.S)
+#: The attributes of a tag up to a quote that opens a value (one after an equals sign; other quotes are plain), or up to the tag's end.
+_PLAIN = re.compile(r"""[^<>=]*+(?:=\s*+(?!["'])[^\s<>]*+[^<>=]*+)*+(?:=\s*+(["']))?""")
+_BROKEN = re.compile(r"[^<>]*+")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN_ATTRIBUTE = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
@@ -78,6 +81,30 @@ class _Frame:
         self.hidden = self.hidden or tag in HIDDEN or bool(attributes) and bool(_HIDDEN_ATTRIBUTE.search(attributes))
 
 
+def _attributes(html: str, at: int, broken: set[int]) -> tuple[str, int]:
+    """The attributes that begin at ``at``, with quoted values of any length, and where their tag ends.
+
+    If a quote isn't closed, or a '<' comes first, the tag ends at the next '<' or '>', quoted or
+    not. ``broken`` keeps the quotes that led there, so that no value of a page is passed over twice in vain.
+    """
+    k, opened = at, []
+    while True:
+        m = _PLAIN.match(html, k)
+        k = m.end()
+        if not m[1]:
+            if html.startswith(">", k):
+                return html[at:k], k + 1
+            break
+        shut = -1 if k in broken else html.find(m[1], k)
+        opened.append(k)
+        if shut < 0:
+            break
+        k = shut + 1
+    broken.update(opened)
+    k = _BROKEN.match(html, at).end()
+    return html[at:k], k + html.startswith(">", k)
+
+
 class _Blocks:
     """The flat text blocks of a page: (text, words, words in links, frame of the first text)."""
 
@@ -87,6 +114,7 @@ class _Blocks:
         self.frame: _Frame | None = None
         stack = [_Frame("html")]
         at, end = 0, len(html)
+        broken: set[int] = set()
         while at < end:
             m = _TOKEN.search(html, at)
             if not m:
@@ -95,15 +123,15 @@ class _Blocks:
             if m.start() > at:
                 self.text(html[at : m.start()], stack[-1])
             at = m.end()
-            tag = (m[2] or m[5] or "").lower()
+            tag = (m[2] or "").lower()
             if not tag:
                 if m[0].startswith("<![CDATA["):
                     self.raw(m[0][9:].removesuffix("]]>"), stack[-1])
                 continue
-            if m[1] or m[4]:
+            attributes, at = _attributes(html, at, broken)
+            if m[1]:
                 self.close(stack, tag)
                 continue
-            attributes = m[3] or ""
             if tag == "br":
                 self.raw(" ", stack[-1])
                 continue

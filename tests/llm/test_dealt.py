@@ -4,6 +4,7 @@ import binascii
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -601,6 +602,30 @@ def test_extraction(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = "x > y " * 3000
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<article><p>Body.</p><div data-state=\"{LONG}\" class='comments'><p>I think this is great.</p></div></article>", "Body."),
+        (f"<article><p>Body.</p><div class=cookie style='{LONG}'>We use them.</div></article>", "Body."),
+        (f"<article><p>Body <svg d='{LONG}'/>stays.</p></article>", "Body stays."),
+        ("<article><p>Body.</p><div class=comments title=it's><p>I think this isn't great.</p></div><p title='x'>More.</p></article>", "Body. More."),
+        ("<article><p>Body.</p><div class='comments' title=\"open><p>I think this is great.</p></div></article>", "Body."),
+    ],
+)
+def test_long_values_and_stray_quotes(html, text):
+    assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a '\"", '<a =" ', '<a " ="', "<a ='\"' =\"", "<a b=c ='", '<a x="<a y=\'', "<a ", "<a ="])
+def test_broken_markup_takes_linear_time(unit):
+    start = time.process_time()
+    html_text.main_text(unit * 100_000)
+    assert time.process_time() - start < 20
+
+
 def test_clashing_columns_and_order_stay(spark):
     df = spark.createDataFrame([(1, "the house", "x", 5)], "doc_id long, text string, n_tokens string, _tokens int")
     assert token_counts.with_token_counts(df).columns == ["doc_id", "text", "_tokens", "n_tokens"]
