@@ -3,8 +3,8 @@
 Linked documents start with the shard of their smallest neighbour. In each round every linked
 document counts the shards of its neighbours and asks for the one that gains it most links.
 Between two shards as many may go each way as come back, and more while there is room, those
-with the largest gain first. Shards hold at most floor(N / shards) linked documents at any time;
-documents without links then fill all shards so that their sizes differ by at most one.
+with the largest gain first. At no time do shards hold more linked documents than their final
+sizes, which differ by at most one; documents without links then fill all shards to these.
 
 Ranks within a shard are counted in LEAD * TAIL parts of it, each numbered on its own and moved
 up by the sizes of the parts before it, so that no task holds a shard. Only sizes of shards
@@ -55,14 +55,15 @@ def _counts(df: DataFrame, shards: int) -> list[int]:
     return [got.get(k, 0) for k in range(shards)]
 
 
-def _capped(df: DataFrame, shards: int, cap: int) -> DataFrame:
-    """row, shard with at most cap rows in a shard: the last of a full shard go where there is room."""
-    counts = _counts(df, shards)
-    if max(counts) <= cap:
+def _capped(df: DataFrame, caps: list[int]) -> DataFrame:
+    """row, shard with at most caps[k] rows in shard k: the last of a full shard go where there is room."""
+    counts = _counts(df, len(caps))
+    if all(c <= cap for c, cap in zip(counts, caps, strict=True)):
         return df.select("row", "shard")
+    cap = F.element_at(F.array(*[F.lit(c) for c in caps]), F.col("shard") + 1)
     placed = ranked(df, "shard", _spread(F.xxhash64("seed"), LEAD), _spread(F.xxhash64("row"), TAIL))
     over = placed.where(F.col("rank") >= cap).select("row", "seed", F.lit(0).alias("one"))
-    moved = ranked(over, "one", _spread(F.xxhash64("seed"), LEAD), _spread(F.xxhash64("row"), TAIL)).select("row", _into(F.col("rank"), [max(0, cap - c) for c in counts]).cast("int").alias("shard"))
+    moved = ranked(over, "one", _spread(F.xxhash64("seed"), LEAD), _spread(F.xxhash64("row"), TAIL)).select("row", _into(F.col("rank"), [max(0, most - c) for c, most in zip(counts, caps, strict=True)]).cast("int").alias("shard"))
     return placed.where(F.col("rank") < cap).select("row", "shard").union(moved)
 
 
@@ -85,11 +86,11 @@ def balanced_labels(rows: DataFrame, edges: DataFrame, shards: int = SHARDS, rou
     rows: a column ``row`` (long, unique). edges: src and dst (long) among these; undirected.
     """
     n = rows.count()
-    cap = n // shards
+    caps = [n // shards + (k < n % shards) for k in range(shards)]
     both = cut(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst"))
     start = both.groupBy(F.col("src").alias("row")).agg(F.least(F.col("src"), F.min("dst")).alias("seed"))
     linked = start.withColumn("shard", F.pmod(F.xxhash64("seed"), shards).cast("int"))
-    labels = cut(_capped(cut(linked), shards, cap))
+    labels = cut(_capped(cut(linked), caps))
     for turn in range(rounds):
         counts = _counts(labels, shards)
         votes = both.join(labels.select(F.col("row").alias("dst"), F.col("shard").alias("to")), "dst").groupBy(F.col("src").alias("row"), "to").count()
@@ -100,12 +101,12 @@ def balanced_labels(rows: DataFrame, edges: DataFrame, shards: int = SHARDS, rou
             break
         # half of them ask in a round, so that neighbours don't change places for ever
         asks = asks.where(F.pmod(F.xxhash64("row", F.lit(turn)), 2) == 0).withColumn("way", F.col("shard") * shards + F.col("to"))
-        quota = _quotas({r["way"]: r["count"] for r in asks.groupBy("way").count().collect()}, [max(0, cap - c) for c in counts])
+        quota = _quotas({r["way"]: r["count"] for r in asks.groupBy("way").count().collect()}, [max(0, cap - c) for c, cap in zip(counts, caps, strict=True)])
         order = ranked(asks, "way", F.greatest(F.lit(0), F.lit(LEAD - 1) - F.col("gain")), _spread(F.xxhash64("row"), TAIL))
         moves = order.where(F.col("rank") < F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("way") + 1)).select("row", "to")
         labels = cut(labels.join(moves, "row", "left").select("row", F.coalesce("to", "shard").cast("int").alias("shard")))
     counts = _counts(labels, shards)
-    rooms = [cap + (k < n % shards) - c for k, c in enumerate(counts)]
+    rooms = [cap - c for c, cap in zip(counts, caps, strict=True)]
     free = rows.select("row").join(labels.select("row"), "row", "left_anti").withColumn("one", F.lit(0))
     h = F.xxhash64("row")
     filled = ranked(free, "one", _spread(h, LEAD), _spread(F.xxhash64("row", F.lit(1)), TAIL)).select("row", _into(F.col("rank"), rooms).cast("int").alias("shard"))

@@ -391,6 +391,14 @@ def test_a_hot_group_stays_in_few_shards(spark):
     assert max(sizes) - min(sizes) <= 1
 
 
+@pytest.mark.parametrize("n", [1000, 1007])
+def test_shards_of_copies_alone_are_even(spark, n):
+    rows = [(i, f"text {i // 2 if i < n - 3 else 0}", "en", "s", 0) for i in range(n)]
+    got = sharding.sharded(spark.createDataFrame(rows, DOCS)).collect()
+    sizes = [sum(r["shard"] == k for r in got) for k in range(16)]
+    assert len(got) == n and max(sizes) - min(sizes) <= 1
+
+
 # 6 language
 
 
