@@ -59,13 +59,15 @@ def anchor_hashes(inner: Column, k: int = K, s: int = S) -> Column:
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, s: int = S, keep: int = KEEP) -> DataFrame:
     """df with a fingerprint of column ``text``.
 
-    A text with fewer than k pieces has one anchor, all of it; a null text or one without pieces
-    has none, and an empty fingerprint.
+    A text in which no k-mer is selected (one with few pieces) has one anchor, all of it; a null
+    text or one without pieces has none, and an empty fingerprint.
     """
     df = df.withColumn("_words", pieces(F.coalesce(F.col(text), F.lit(""))))
     df = df.withColumn("_inner", inner_hashes(F.col("_words"), s)).withColumn("_count", F.size("_words")).drop("_words")
     whole = F.array(F.shiftrightunsigned(F.xxhash64(F.col("_inner")), 64 - 4 * DIGITS))
-    df = df.withColumn("_hashes", F.when(F.col("_count") == 0, F.array().cast("array<bigint>")).when(F.col("_count") < k, whole).otherwise(anchor_hashes(F.col("_inner"), k, s))).drop("_inner", "_count")
+    none = F.array().cast("array<bigint>")
+    df = df.withColumn("_hashes", F.when(F.col("_count") < k, none).otherwise(anchor_hashes(F.col("_inner"), k, s)))
+    df = df.withColumn("_hashes", F.when((F.size("_hashes") == 0) & (F.col("_count") > 0), whole).otherwise(F.col("_hashes"))).drop("_inner", "_count")
     least = F.slice(F.sort_array(F.array_distinct("_hashes")), 1, keep)
     return df.withColumn(out, F.lower(F.array_join(F.transform(least, lambda h: F.lpad(F.hex(h), DIGITS, "0")), ""))).drop("_hashes")
 

@@ -150,6 +150,15 @@ def test_syncmers_by_brute_force(spark):
     assert [x["position"] for x in r["a"]] == want and 0.3 < len(want) / len(inner) < 0.8
 
 
+def test_texts_of_few_pieces_have_fingerprints(spark):
+    rng = random.Random(10)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in range(1, 10) for _ in range(40)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", " \n"]], "t string")
+    got = {r["t"]: r["f"] for r in fingerprints.with_fingerprint(df, "t", "f").collect()}
+    assert got.pop("") == got.pop(" \n") == "" and "" not in got.values()
+    assert len(set(got.values())) == len(got)
+
+
 def test_syncmers_do_not_depend_on_context(spark):
     rng = random.Random(9)
     common = prose(rng, 80)
