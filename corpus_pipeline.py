@@ -43,8 +43,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts masked and n_chars counted anew where a text changed."""
-    ledger = cut(secret_scan.scan(docs))
+    """All documents, with the secrets in their texts (private keys whole) masked and n_chars counted anew where a text changed."""
+    ledger = cut(secret_scan.scan(docs, rules=secret_scan.MASKED))
     marked = secret_scan.report(docs, ledger).withColumn("text", secret_scan.redacted(F.col("text"), F.col("_hits")))
     n = F.when(F.size("_hits") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return marked.withColumn("n_chars", n).select(*docs.columns)

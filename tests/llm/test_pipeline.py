@@ -43,3 +43,13 @@ def test_stages(spark, folder, tmp_path):
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0
+
+
+def test_private_keys_are_masked_whole(spark, tmp_path):
+    body = "\n".join("MIIEvQ+/Ab09" * 5 for _ in range(2000))
+    head, end = "-----BEGIN {}PRIVATE KEY-----", "-----END {}PRIVATE KEY-----"
+    rsa = f"{head.format('RSA ')}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0F\n\n{body}\n{end.format('RSA ')}"
+    texts = [f"a {head.format('')}\n{body}\n{end.format('')} b {rsa} c", f"a {head.format('')} b", f"a {head.format('EC ')} b {end.format('')} c", f"{head.format('')} " * 3000]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.secrets(spark, docs, str(tmp_path)).collect()}
+    assert got == {0: "a [secret] b [secret] c", 1: "a [secret] b", 2: f"a [secret] b {end.format('')} c", 3: "[secret] " * 3000}
