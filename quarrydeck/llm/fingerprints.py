@@ -1,23 +1,30 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone.
 
-A text becomes pieces: its lower-cased runs of characters other than white space, in stretches
-of at most 8. A k-mer is a run of ``k`` pieces; it is a closed syncmer if the smallest hash
+A text becomes pieces: its lower-cased runs of up to RUN characters other than white space, and
+the single characters of longer runs (unspaced scripts, encoded data), so that an insertion moves
+no piece but its own. A k-mer is a run of ``k`` pieces; it is a closed syncmer if the smallest hash
 among the runs of ``s`` pieces inside it is its first or last one. Whether a k-mer is selected
 depends on itself alone, so equal passages select equal anchors wherever they stand. The
-fingerprint is the ``keep`` smallest hashes of the anchors (every anchor has its chance; equal
-texts have equal ones), as hexadecimal digits; likeness estimates the share of common anchors.
+fingerprint holds the ``keep`` anchors of smallest hash with their first positions (every anchor
+has its chance; equal texts have equal ones), as hexadecimal digits. Likeness estimates the share
+of common anchors, of which those count whose displacement from one text to the other another
+common anchor shares: passages match in place, chance matches don't.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import table
+from .common import free_name, let, table
 
 K, S, KEEP = 5, 2, 64
-#: Hexadecimal digits of an anchor in a fingerprint.
-DIGITS = 8
-_PIECE = r"\S{1,8}"
+#: Characters of a run that is one piece, at most.
+RUN = 24
+#: Hexadecimal digits of an anchor's hash and of its position in a fingerprint. Positions beyond the largest count as the largest.
+DIGITS, PLACE = 8, 6
+#: Pieces by which displacements of matching anchors may differ, about.
+DRIFT = 32
+_PIECE = rf"(?<!\S)\S{{1,{RUN}}}+(?!\S)|\S"
 #: Parts of the id range per shuffle partition, for finding each document's successor.
 PARTS = 3
 
@@ -32,53 +39,76 @@ def inner_hashes(words: Column, s: int = S) -> Column:
     return F.when(F.size(words) < s, F.transform(words, lambda x: F.xxhash64(x))).otherwise(F.slice(F.transform(words, run), F.lit(1), F.size(words) - (s - 1)))
 
 
-def syncmers(inner: Column, k: int = K, s: int = S) -> Column:
-    """The closed syncmers as an array of (hash, position), from the inner hashes."""
-    w = k - s  # the last inner run of a k-mer starts w after its first
+def _placed(h: Column, position: Column) -> Column:
+    """The leading DIGITS digits of a hash, and a position, as one number."""
+    most = 16**PLACE - 1
+    return F.shiftleft(F.shiftrightunsigned(h, 64 - 4 * DIGITS), 4 * PLACE) + F.least(position.cast("long"), F.lit(most).cast("long"))
 
-    def at(x, i):
-        last = F.get(inner, i + w)
-        least = F.least(x, *[F.get(inner, i + j) for j in range(1, w + 1)])
-        return F.when(last.isNotNull() & ((least == x) | (least == last)), F.struct(F.xxhash64(x, *[F.get(inner, i + j) for j in range(s, w, s)], last).alias("hash"), i.alias("position")))
 
-    return F.filter(F.transform(inner, at), lambda x: x.isNotNull())
-
-
-def anchor_hashes(inner: Column, k: int = K, s: int = S) -> Column:
-    """The leading DIGITS hexadecimal digits of the closed syncmers' hashes, as numbers."""
-    w = k - s
+def syncmers(inner: Column, k: int = K, s: int = S) -> Column:
+    """The closed syncmers of a text from its inner hashes, in order: hash and position as one number each."""
+    w = k - s  # the last inner run of a k-mer starts w after its first
 
     def at(x, i):
         last = F.get(inner, i + w)
         least = F.least(x, *[F.get(inner, i + j) for j in range(1, w + 1)])
-        return F.when((least == x) | (least == last), F.when(last.isNotNull(), F.shiftrightunsigned(F.xxhash64(x, *[F.get(inner, i + j) for j in range(s, w, s)], last), 64 - 4 * DIGITS)))
+        return F.when((least == x) | (least == last), F.when(last.isNotNull(), _placed(F.xxhash64(x, *[F.get(inner, i + j) for j in range(s, w, s)], last), i)))
 
     return F.array_compact(F.transform(inner, at))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, k: int = K, s: int = S, keep: int = KEEP) -> DataFrame:
-    """df with a fingerprint of column ``text``.
+    """df with a fingerprint of column ``text``; other columns stay, whatever their names (but ``out``).
 
     A text in which no k-mer is selected (one with few pieces) has one anchor, all of it; a null
     text or one without pieces has none, and an empty fingerprint.
     """
-    df = df.withColumn("_words", pieces(F.coalesce(F.col(text), F.lit(""))))
-    df = df.withColumn("_inner", inner_hashes(F.col("_words"), s)).withColumn("_count", F.size("_words")).drop("_words")
-    whole = F.array(F.shiftrightunsigned(F.xxhash64(F.col("_inner")), 64 - 4 * DIGITS))
+    columns = [c for c in df.columns if c != out]
+    words, inner, count, found = (free_name(df, c) for c in ("words", "inner", "count", "found"))
+    df = df.withColumn(words, pieces(F.coalesce(F.col(text), F.lit(""))))
+    df = df.withColumn(inner, inner_hashes(F.col(words), s)).withColumn(count, F.size(words)).drop(words)
+    whole = F.array(_placed(F.xxhash64(F.col(inner)), F.lit(0)))
     none = F.array().cast("array<bigint>")
-    df = df.withColumn("_hashes", F.when(F.col("_count") < k, none).otherwise(anchor_hashes(F.col("_inner"), k, s)))
-    df = df.withColumn("_hashes", F.when((F.size("_hashes") == 0) & (F.col("_count") > 0), whole).otherwise(F.col("_hashes"))).drop("_inner", "_count")
-    least = F.slice(F.sort_array(F.array_distinct("_hashes")), 1, keep)
-    return df.withColumn(out, F.lower(F.array_join(F.transform(least, lambda h: F.lpad(F.hex(h), DIGITS, "0")), ""))).drop("_hashes")
+    df = df.withColumn(found, F.when(F.col(count) < k, none).otherwise(syncmers(F.col(inner), k, s)))
+    df = df.withColumn(found, F.sort_array(F.when((F.size(found) == 0) & (F.col(count) > 0), whole).otherwise(F.col(found)))).drop(inner, count)
+    hash_of = lambda x: F.shiftright(x, 4 * PLACE)
+    # of an anchor that occurs again the first position stays
+    first = F.filter(F.col(found), lambda x, i: (i == 0) | (hash_of(x) != hash_of(F.coalesce(F.get(F.col(found), i - 1), F.lit(-1).cast("long")))))
+    digits = F.transform(F.slice(first, 1, keep), lambda h: F.lpad(F.hex(h), DIGITS + PLACE, "0"))
+    return df.withColumn(out, F.lower(F.array_join(digits, ""))).select(*[f"`{c}`" for c in columns], out)
 
 
 def likeness(a: Column, b: Column, keep: int = KEEP) -> Column:
-    """The estimated share (0 to 1) of common anchors of two fingerprints; two empty ones are alike, an empty one is like no other."""
-    split = lambda c: F.regexp_extract_all(c, F.lit(f".{{{DIGITS}}}"), F.lit(0))
-    x, y = split(a), split(b)
-    union = F.slice(F.sort_array(F.array_union(x, y)), 1, keep)
-    shared = F.size(F.array_intersect(F.array_intersect(x, y), union)) / F.size(union)
-    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(shared).cast("double")
+    """The estimated share (0 to 1) of common anchors of two fingerprints that match in place.
+
+    Of the anchors in common, those count whose displacement is about that of another; a single
+    one counts. Two empty fingerprints are alike, an empty one is like no other.
+    """
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(f".{{{DIGITS + PLACE}}}"), F.lit(0))
+    names = lambda xs: F.transform(xs, lambda x: F.substring(x, 1, DIGITS))
+
+    def places(xs: Column, shared: Column) -> Column:
+        mine = F.filter(xs, lambda t: F.array_contains(shared, F.substring(t, 1, DIGITS)))
+        return F.transform(mine, lambda t: F.conv(F.substring(t, DIGITS + 1, PLACE), 16, 10).cast("long"))
+
+    def held(moved: Column) -> Column:
+        """How many of the sorted displacements have an equal one beside them; one alone counts."""
+        beside = lambda d, i: F.coalesce(d == F.get(moved, i - 1), F.lit(False)) | F.coalesce(d == F.get(moved, i + 1), F.lit(False))
+        return F.when(F.size(moved) == 1, 1).otherwise(F.size(F.filter(moved, beside)))
+
+    def share(xs: Column, ys: Column, union: Column) -> Column:
+        def of(shared: Column) -> Column:
+            # both are in order of the hashes, so that the anchors in common stand side by side
+            moved = F.sort_array(F.zip_with(places(xs, shared), places(ys, shared), lambda p, q: F.floor((q - p + DRIFT // 2) / DRIFT)))
+            return F.when(F.size(shared) == 0, 0.0).otherwise(let(moved, held) / F.size(union))
+
+        return let(F.array_intersect(F.array_intersect(names(xs), names(ys)), union), of)
+
+    def both(xs: Column, ys: Column) -> Column:
+        return let(F.slice(F.sort_array(F.array_union(names(xs), names(ys))), 1, keep), lambda union: share(xs, ys, union))
+
+    found = let(tokens(a), lambda xs: let(tokens(b), lambda ys: both(xs, ys)))
+    return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(found).cast("double")
 
 
 def successors(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
