@@ -1,47 +1,48 @@
 """Language identification by segmentation-marginalised unigrams.
 
 Every language has a probability for each piece of one fixed public vocabulary. The
-probability of a word is the sum over all its segmentations into pieces, which a forward pass
-over the word's characters gives; the log-probability of a text is the sum over its words.
-Characters in no piece count as one unknown piece each.
+probability of a word (a run of letters) is the sum over all its segmentations into pieces, which
+a forward pass over the word's characters gives; the log-probability of a text is the sum over its
+words. Characters in no piece count as one unknown piece each. Sums of long words are rescaled as
+they go, so that words of any length have their exact value.
 
 Piece probabilities are fitted with EM (forward-backward over all segmentations) to the word
-counts of each language in a bounded sample of labelled documents. Scoring covers every word of
-every text; a word's scores are computed once per worker while it stays in a bounded memo.
+counts of each language, which Spark counts in a bounded sample of labelled documents. Scoring
+covers every word of every text; a word's scores are computed once per worker while it stays in a
+bounded memo.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import ship_code, table, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
-#: Labelled documents of each language that are fitted to (about; chosen by hashed ids).
+#: Labelled documents of each language that are fitted to (about, and twice as many at most; chosen by hash).
 SAMPLE = 800
-#: Languages that are fitted at most: those with the most labelled documents.
-LANGUAGES = 256
-#: Code points of a sampled document that enter the fit at most.
-SAMPLE_CHARS = 20_000
 ROUNDS = 3
-LONGEST = 16
-MEMO = 200_000
-#: Longer words are scored in stretches of this many code points.
-STRETCH = 48
+#: Words in one of the two generations of a worker's memo.
+MEMO = 100_000
+#: Positions after which sums are rescaled, and the word length up to which they need not be.
+RESCALE, SHORT = 8, 16
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall(text.lower())
+    """Runs of letters (characters of Unicode's category L), lower-cased."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # letter-like numbers (fractions, Roman numerals, digits in circles) are no letters
+    return "".join(c if c.isalpha() else " " for w in found for c in (*w, " ")).split()
 
 
 @cache
@@ -51,7 +52,7 @@ def vocabulary(name: str = MODEL) -> tuple[str, ...]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(name))
     pieces = (sp.id_to_piece(i).replace("▁", "_").lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return tuple(sorted({p for p in pieces if re.fullmatch(r"_?[^\W\d_]*", p) and p and len(p) <= LONGEST}))
+    return tuple(sorted({p for p in pieces if re.fullmatch(r"_?[^\W\d_]*", p) and p}))
 
 
 class Segments:
@@ -65,67 +66,121 @@ class Segments:
         self.index = {p: k for k, p in enumerate(pieces)}
         self.unknown, self.none = len(pieces), len(pieces) + 1
         self.longest = max(map(len, pieces), default=1)
+        # the pieces' prefixes as nodes; a step from a node by a character is one number, and steps are looked up in a sorted array
+        nodes = {"": 0}
+        for p in pieces:
+            for j in range(1, len(p) + 1):
+                nodes.setdefault(p[:j], len(nodes))
+        self.letters = np.array(sorted({ord(c) for p in pieces for c in p}), np.uint32)
+        place = {chr(c): k for k, c in enumerate(self.letters.tolist())}
+        steps = sorted((nodes[x[:-1]] * len(place) + place[x[-1]], k) for x, k in nodes.items() if x)
+        self.steps, self.to = np.array([x for x, _ in steps], np.int64), np.array([k for _, k in steps], np.int64)
+        self.piece = np.array([self.index.get(x, self.none) for x in nodes], np.int32)
+
+    def _table(self, words: list[str], n: int) -> np.ndarray:
+        """The pieces of words of n - 1 characters each."""
+        table = np.full((len(words), n, self.longest), self.none, np.int32)
+        if len(self.steps):
+            codes = np.frombuffer("".join("_" + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+            at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
+            letter = np.where(self.letters[at] == codes, at, -1)
+            start = np.arange(len(codes))
+            left = n - start % n  # characters from here to the word's end
+            node, flat = np.zeros(len(codes), np.int64), table.reshape(len(codes), self.longest)
+            for m in range(self.longest):
+                ok = left > m
+                start, left, node = start[ok], left[ok], node[ok]
+                c = letter[start + m]
+                step = node * len(self.letters) + c
+                k = np.minimum(np.searchsorted(self.steps, step), len(self.steps) - 1)
+                ok = (c >= 0) & (self.steps[k] == step)
+                start, left, node = start[ok], left[ok], self.to[k[ok]]
+                if not len(start):
+                    break
+                flat[start, m] = self.piece[node]
+        first = table[:, :, 0]
+        first[first == self.none] = self.unknown
+        return table
 
     def tables(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
         """Positions of the words of one length, and their pieces by (word, start, piece length - 1)."""
         by: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             by.setdefault(len(w) + 1, []).append(k)
-        get, none, unknown, longest = self.index.get, self.none, self.unknown, self.longest
         for n, at in sorted(by.items()):
-            spans = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + longest) + 1)]
-            for part in (at[k : k + 20_000] for k in range(0, len(at), 20_000)):
-                ids = np.array([[get(s[i:j], none) for i, j in spans] for s in ("_" + words[k] for k in part)], np.int32)
-                table = np.full((len(part), n, longest), none, np.int32)
-                rows, cols = np.array([i for i, _ in spans]), np.array([j - i - 1 for i, j in spans])
-                table[:, rows, cols] = ids
-                first = table[:, :, 0]
-                first[first == none] = unknown
-                yield part, table
-
-    def forward(self, table: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Probability of the first i characters in each language: (word, i, language)."""
+            most = max(1, 200_000 // n)
+            for part in (at[k : k + most] for k in range(0, len(at), most)):
+                yield part, self._table([words[k] for k in part], n)
+
+    def forward(self, table: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of the first i characters in each language, as a number and the logarithm of its scale: (word, i, language) each."""
         w, n, longest = table.shape
-        alpha = np.zeros((w, n + 1, p.shape[1]))
+        alpha, scale = np.zeros((w, n + 1, p.shape[1])), np.zeros((w, n + 1, p.shape[1]))
         alpha[:, 0] = 1
         for i in range(n):
+            if n > SHORT and i and i % RESCALE == 0:
+                # all sums that are still to be added to go over to the same new scale
+                top = alpha[:, i : i + longest].max(axis=1)
+                top[top == 0] = 1
+                alpha[:, i : i + longest] /= top[:, None]
+                scale[:, i:] += np.log(top)[:, None]
             for m in range(min(longest, n - i)):
-                alpha[:, i + m + 1] += alpha[:, i] * p[table[:, i, m]]
-        return alpha
+                k = table[:, i, m]
+                if m and (k == self.none).all():
+                    continue
+                alpha[:, i + m + 1] += alpha[:, i] * p[k]
+        return alpha, scale
 
-    def backward(self, table: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Probability of the characters from i on in each language."""
+    def backward(self, table: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of the characters from i on in each language, likewise."""
         w, n, longest = table.shape
-        beta = np.zeros((w, n + 1, p.shape[1]))
+        beta, scale = np.zeros((w, n + 1, p.shape[1])), np.zeros((w, n + 1, p.shape[1]))
         beta[:, n] = 1
         for i in range(n - 1, -1, -1):
             for m in range(min(longest, n - i)):
-                beta[:, i] += beta[:, i + m + 1] * p[table[:, i, m]]
-        return beta
+                k = table[:, i, m]
+                if m and (k == self.none).all():
+                    continue
+                beta[:, i] += beta[:, i + m + 1] * p[k]
+            if n > SHORT and i and i % RESCALE == 0:
+                part = beta[:, i : i + longest]
+                top = part.max(axis=1)
+                top[top == 0] = 1
+                part /= top[:, None]
+                scale[:, i : i + longest] += np.log(top)[:, None]
+                scale[:, :i] = scale[:, i : i + 1]
+        return beta, scale
+
+    def logs(self, table: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Log-probability of whole words in each language."""
+        alpha, scale = self.forward(table, p)
+        return np.log(alpha[:, -1]) + scale[:, -1]
 
 
 class Scorer:
-    """Log-probabilities of words in each language, summed over all their segmentations, with a bounded memo."""
+    """Log-probabilities of words in each language, summed over all their segmentations, with a bounded memo of two generations."""
 
     def __init__(self, pieces: tuple[str, ...], p: np.ndarray, memo: int = MEMO):
         self.segments, self.memo = Segments(pieces), memo
         self.p = np.vstack([p, np.zeros((1, p.shape[1]))])
         self.at: dict[str, int] = {}
         self.values = np.zeros((0, p.shape[1]))
+        self.older = (self.at, self.values)
 
     def learn(self, words: set[str]) -> None:
-        """Score the words that the memo lacks; a full memo starts anew."""
+        """Score the words that the memo lacks; when it is full it becomes the older generation."""
         if len(self.at) > self.memo:
-            self.at, self.values = {}, self.values[:0]
+            self.older, self.at, self.values = (self.at, self.values), {}, self.values[:0]
         new = [w for w in words if w not in self.at]
         if not new:
             return
-        parts = [(k, w[c : c + STRETCH]) for k, w in enumerate(new) for c in range(0, len(w), STRETCH)]
+        at, values = self.older
+        known = np.array([at.get(w, -1) for w in new])
         out = np.zeros((len(new), self.p.shape[1]))
-        owner = np.array([k for k, _ in parts])
-        for positions, table in self.segments.tables([w for _, w in parts]):
-            logs = np.log(np.maximum(self.segments.forward(table, self.p)[:, -1], 1e-300))
-            np.add.at(out, owner[positions], logs)
+        out[known >= 0] = values[known[known >= 0]]
+        fresh = np.nonzero(known < 0)[0]
+        for positions, table in self.segments.tables([new[k] for k in fresh]):
+            out[fresh[positions]] = self.segments.logs(table, self.p)
         self.at.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
         self.values = np.vstack([self.values, out])
 
@@ -146,21 +201,25 @@ def fit(counts: dict[str, dict[str, int]], pieces: tuple[str, ...] | None = None
     for lang in langs:
         ws = list(counts[lang])
         weight = np.array([counts[lang][w] for w in ws], float)
-        tables = list(segments.tables([w[:STRETCH] for w in ws]))
+        tables = list(segments.tables(ws))
         p = (start / start.sum())[:, None]
         for _ in range(rounds):
             expect = np.zeros(len(p))
             for at, table in tables:
-                a, b = segments.forward(table, p), segments.backward(table, p)
-                share = weight[at] / np.maximum(a[:, -1, 0], 1e-300)
+                (a, sa), (b, sb) = segments.forward(table, p), segments.backward(table, p)
                 n = table.shape[1]
+                total = np.log(a[:, -1, 0]) + sa[:, -1, 0]
                 for i in range(n):
                     for m in range(min(table.shape[2], n - i)):
                         k = table[:, i, m]
+                        if m and (k == segments.none).all():
+                            continue
+                        share = weight[at] * np.exp(sa[:, i, 0] + sb[:, i + m + 1, 0] - total)
                         expect += np.bincount(k, share * a[:, i, 0] * p[k, 0] * b[:, i + m + 1, 0], len(p))
-            p = expect[:, None]
+            p = expect[:, None].copy()
             p[-1] = 0
             p = p / max(p.sum(), 1e-300)
+            p[segments.unknown] = max(p[segments.unknown], 1e-12)  # a character that no piece has stays possible
         fitted.append(expect)
     counted = np.stack(fitted, axis=1)
     used = np.nonzero(counted[:-2].sum(axis=1) > 1e-6)[0]
@@ -169,20 +228,27 @@ def fit(counts: dict[str, dict[str, int]], pieces: tuple[str, ...] | None = None
 
 
 def training_counts(df: DataFrame, text: str, lang: str, key: str, sample: int = SAMPLE) -> dict[str, dict[str, int]]:
-    """Word counts of each language over about ``sample`` labelled documents of each, chosen by hashed keys; never over more than twice as many in all."""
-    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[lang]: r["count"] for r in labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
+    """Word counts of each language over about ``sample`` labelled documents of each (of at most twice as many), whole, chosen by hashed key and text.
+
+    Equal rows count once. All languages that have a labelled document take part; these are few
+    by nature, and so are the distinct words of the sample, which Spark counts.
+    """
+    labelled = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
     if not sizes:
         return {}
-    h = F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000))
-    share = F.lit(0)
+    # in place of a share of rows, a bound for hashes, which doesn't round to nothing
+    share = F.lit(0.0)
     for name, n in sizes.items():
-        share = F.when(F.col(lang) == name, int(min(1.0, sample / n) * 1_000_000)).otherwise(share)
-    part = labelled.where(h < share).limit(2 * sample * len(sizes)).select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, SAMPLE_CHARS).alias("t"))
-    counts: dict[str, Counter[str]] = {}
-    for r in part.toLocalIterator():
-        counts.setdefault(r["lang"], Counter()).update(words(r["t"]))
-    return {k: dict(c) for k, c in counts.items() if c}
+        share = F.when(F.col("lang") == name, F.lit(1.0 if n <= 1.5 * sample else sample / n)).otherwise(share)
+    u = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    few = labelled.where(u < share).dropDuplicates(["lang", "h"])
+    chosen = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= 2 * sample)
+    found = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), F.lit(0))).alias("w")).groupBy("lang", "w").count()
+    counts: dict[str, dict[str, int]] = {}
+    for r in found.toLocalIterator():
+        counts.setdefault(r["lang"], {})[r["w"]] = r["count"]
+    return {k: dict(sorted(c.items())) for k, c in counts.items()}
 
 
 def with_language(df: DataFrame, model: tuple[list[str], tuple[str, ...], np.ndarray], text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
@@ -195,7 +261,7 @@ def with_language(df: DataFrame, model: tuple[list[str], tuple[str, ...], np.nda
     spark = ship_code(df.sparkSession)
     df = df.drop(lang_out, score_out)
     schema = df.select("*", F.lit("").alias(lang_out), F.lit(0.0).alias(score_out)).schema
-    held = spark.sparkContext.broadcast(model)  # at most the vocabulary's pieces by LANGUAGES
+    held = spark.sparkContext.broadcast(model)  # at most the vocabulary's pieces by the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, pieces, p = held.value
