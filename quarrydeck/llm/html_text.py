@@ -213,6 +213,18 @@ LABELLED = (
     ('<body><main><nav><a href=/a>Part one</a> <a href=/b>Part two</a></nav><h1>Part one</h1><p>No.</p><p><a href=/whole>This whole line of the article is a link</a></p><p>Yes, said the miller, and shut the door before the rain came in.</p><form><p>Subscribe to our letter and get a new story every week without any cost.</p></form></main><footer><p>Printed in the old town by the river. All stories are true or nearly so.</p></footer></body>', "0111100"),
     ('<body><div class="top-banner">Free delivery on all orders over twenty pounds until the end of this week.</div><div class="post"><h2>Bread</h2><p>Flour, water, salt and time make a loaf; the rest is patience and a hot oven.</p><p>Wait.</p></div><div class="related"><ul><li><a href=/1>Cakes for the winter</a></li><li><a href=/2>All about yeast</a></li></ul></div></body>', "011100"),
     ('<body><article><h1>Rope</h1><p>Hemp.</p><ul><li><a href=/h>Hemp</a></li><li>Flax is softer</li></ul><blockquote>A rope is only as good as its worst yard.</blockquote></article><div id="comments"><p>Great text, thanks a lot for writing all of this down for us!</p></div><div class="share"><a href=/t>Tweet</a></div></body>', "1111100"),
+    # pages on which nothing names the furniture: words and links of a block and of its neighbours tell
+    ('<body><div><a href=/1>Home</a> <a href=/2>Shop</a> <a href=/3>About us</a></div><div><h2>Wells</h2><p>A well that was dug by hand is rarely deeper than a tall tree is high.</p><p>The water was drawn with a bucket until the pump came to the village in that year.</p></div><div>Terms of use</div><div><a href=/i>Imprint</a> <a href=/k>Contact</a></div></body>', "011100"),
+    ('<body><table><tr><td><a href=/n>News</a><td><a href=/s>Sport</a></table><div><p>The match was lost in the last minute when the ball hit the post and came back.</p><p>It rained.</p><p>Nobody in the stand had brought a coat, and the last bus had left an hour before.</p></div><p><b>Posted by the editor</b></p><div><a href=/o>Older</a> | <a href=/e>Newer</a></div></body>', "0011100"),
+    ('<body><p>Closed today.</p></body>', "1"),
+    ('<body><div><p>Snow fell on the pass all night and the road was shut to carts at dawn.</p><p>By the evening the first sledges came down with the mail and a sick man.</p></div><div>More like this</div><ul><li><a href=/1>The long winter</a><li><a href=/2>Roads over the mountains</a><li><a href=/3>Post in old times</a></ul></body>', "110000"),
+    ('<body><ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul><div>You are here</div><ul><li><a href=/3>Three</a></ul><h1>Nails</h1><p>Nails were made one by one and sold by weight, so that a barn cost a year of nails.</p><p>See <a href=/h>hammers</a> for the tool that drove them and for the men who made it.</p></body>', "0000111"),
+    ('<body><article><h1>Links of the week</h1><ul><li><a href=/1>A fine essay on moss</a><li><a href=/2>Stone walls</a><li><a href=/3>Hedges and how to lay them</a></ul><p>That is all for now.</p></article></body>', "11111"),
+    ('<body><div><a href=/a>Start</a></div><div><h1>Ferries</h1><p>The ferry was a raft on a rope, and the river did the work of moving it across.</p><h2>Prices</h2><p>A man paid a penny, a horse paid two, and a priest went over for nothing at all.</p><h2>The end</h2><p>When the bridge was built the rope was sold to the mill, where it hangs to this day.</p></div><div>Page one of nine</div><div><a href=/2>Next page</a></div></body>', "011111100"),
+    ('<body><div><a href=/1>Login</a> <a href=/2>Register</a></div><div>Get our best stories every week in your own mailbox</div><div><a href=/s>Subscribe now</a></div><p>Moss grows on the north side of trees, or so the boys of the village were told by the smith.</p><p>It grows on every side that stays wet for long enough, which in that wood was all of them.</p></body>', "00011"),
+    ('<body><p>Ink was made of oak galls, iron and gum, and it was brown before it was ever black.</p><p>Old letters have faded <a href=/f>to the colour of weak tea</a> and are kept in the dark by those who own them.</p><p><a href=/b>Back to the list of all letters</a></p></body>', "110"),
+    ('<body><div><h1>Kites</h1><p>Paper, string, two sticks and a windy hill.</p><p>The tail keeps it straight.</p><p>A kite without a tail spins until the string is wound up and it falls like a stone.</p></div><div><a href=/1>Tops</a> <a href=/2>Marbles</a> <a href=/3>Hoops</a></div><div>All rights are ours</div><div><a href=/p>Privacy</a></div></body>', "1111000"),
+    ('<body><main><h1>Index</h1><p><a href=/1>Chapter one</a></p><p><a href=/2>Chapter two</a></p><p><a href=/3>Chapter three of the book in which the mill burns down</a></p><p>The rest is lost.</p></main><div><a href=/t>Top</a></div></body>', "111110"),
 )
 
 
