@@ -20,12 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import cut, ship_code, table
+from .common import cut, free_name, ship_code, table
 
 #: Labelled documents that are fitted to (about; never more than twice as many).
 SAMPLE = 4000
-#: Domains at most: those with the most labelled documents.
-DOMAINS = 32
+#: Labelled documents of each domain that are fitted to at least, where there are so many (about).
+LEAST = 20
 BITS = 15
 EPOCHS = 120
 ROUNDS = 48
@@ -99,38 +99,45 @@ def fit_classifier(rows: list[tuple[str, list[int]]], epochs: int = EPOCHS, l2:
 def learned(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Classifier:
     """The classifier of the labelled table (columns doc_id and domain), fitted to a bounded sample of it by hashed ids.
 
-    Rows whose doc_id or domain is null are left out; of several domains of a document the least holds.
+    Rows whose doc_id or domain is null are left out; of several domains of a document the least
+    holds, and of several texts that of the least hash. All domains take part, which are few by
+    nature. Whole texts are read.
     """
     ship_code(docs.sparkSession)
     labels = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    sizes = {r["domain"]: r["count"] for r in labels.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(DOMAINS).collect()}
+    sizes = {r["domain"]: r["count"] for r in labels.groupBy("domain").count().collect()}
     total = sum(sizes.values())
     if not total:
         return Classifier()
-    share = int(min(1.0, sample / total) * 1_000_000)
-    chosen = labels.where(F.col("domain").isin(*sizes) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)).limit(2 * sample)
+    # a bound for hashes of 53 bits, which doesn't round to nothing
+    share = F.lit(0.0)
+    for name, n in sizes.items():
+        share = F.when(F.col("domain") == name, F.lit(min(1.0, max(sample / total, LEAST / n)))).otherwise(share)
+    h = F.xxhash64("doc_id")
+    chosen = labels.where(F.shiftrightunsigned(h, 11) / float(1 << 53) < share).orderBy(h, "doc_id").limit(2 * sample)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [features(t)[0] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.list_(pa.int64()))], names=["domain", "f"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.list_(pa.int64())), *b.columns[2:]], names=["domain", "f", "doc_id", "h"])
 
-    got = rows.select("domain", "text").mapInArrow(run, "domain string, f array<long>").limit(2 * sample)
-    return fit_classifier([(r["domain"], r["f"]) for r in got.toLocalIterator()])
+    got = rows.select("domain", "text", "doc_id", F.xxhash64("text").alias("h")).mapInArrow(run, "domain string, f array<long>, doc_id long, h long")
+    one = got.groupBy("doc_id", "domain").agg(F.min_by("f", "h").alias("f")).orderBy("doc_id")
+    return fit_classifier([(r["domain"], r["f"]) for r in one.toLocalIterator()])
 
 
-def with_posteriors(df: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
-    """df with columns _tokens (words) and _p0, _p1, ... (posteriors in the order of model.domains).
+def with_posteriors(df: DataFrame, model: Classifier, text: str = "text", prefix: str = "") -> DataFrame:
+    """df with columns _tokens (words) and _p0, _p1, ... (posteriors in the order of model.domains), after a prefix.
 
     A text without words has the prior's posteriors.
     """
     spark = ship_code(df.sparkSession)
     k = len(model.domains)
-    new = ["_tokens", *(f"_p{i}" for i in range(k))]
+    new = [f"{prefix}_tokens", *(f"{prefix}_p{i}" for i in range(k))]
     df = df.drop(*new)
-    schema = df.select("*", F.lit(0).cast("long").alias("_tokens"), *[F.lit(0.0).alias(c) for c in new[1:]]).schema
-    held = spark.sparkContext.broadcast(model)  # 2 ** BITS by DOMAINS numbers at most
+    schema = df.select("*", F.lit(0).cast("long").alias(new[0]), *[F.lit(0.0).alias(c) for c in new[1:]]).schema
+    held = spark.sparkContext.broadcast(model)  # 2 ** BITS numbers for each domain
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
@@ -147,19 +154,19 @@ def with_posteriors(df: DataFrame, model: Classifier, text: str = "text") -> Dat
     return df.mapInArrow(run, schema)
 
 
-def step(rate: Column, by: list[float]) -> Column:
+def step(rate: Column, by: list[float], prefix: str = "") -> Column:
     """A rate after one step: the posteriors weighted with ``by`` are taken off, down to zero."""
     off = F.lit(0.0)
     for i, c in enumerate(by):
-        off = off + F.lit(float(c)) * F.col(f"_p{i}")
+        off = off + F.lit(float(c)) * F.col(f"{prefix}_p{i}")
     return F.greatest(F.lit(0.0), rate - off)
 
 
-def rate(steps: list[list[float]]) -> Column:
+def rate(steps: list[list[float]], prefix: str = "") -> Column:
     """The rate of a row with posteriors, after all steps."""
     r = F.lit(1.0)
     for by in steps:
-        r = step(r, by)
+        r = step(r, by, prefix)
     return r
 
 
@@ -167,7 +174,9 @@ def fit_rates(rows: DataFrame, targets: list[float], rounds: int = ROUNDS) -> li
     """The steps that bring the expected domain tokens of ``rows`` (_tokens, _p0, ...) to the targets.
 
     Least squares of the residuals in units of the square root of each domain's own curvature;
-    the step size is the inverse of the largest curvature of that problem.
+    the step size is the inverse of the largest curvature of that problem. It ends when no sum is
+    off by more than TOLERANCE of all tokens, or after ``rounds``: the steps then lead to the
+    closest rates so far (with targets that no rates can meet they always do).
     """
     k = len(targets)
     if not k:
@@ -212,17 +221,20 @@ def quality_domains(labels: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] = TARGETS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs repeated by their rates: floor(rate + u) times, u uniform from the hashed doc_id, so that rates hold in expectation.
 
-    Columns stay. Without labels every row stays once.
+    Columns stay, whatever their names. Without labels every row stays once.
     """
     model = learned(docs, labelled, doc_id, text)
     if not model.domains:
         return docs
-    narrow = cut(with_posteriors(docs.select(text), model, text).drop(text))
+    narrow = cut(with_posteriors(docs.select(F.col(text).alias("text")), model).drop("text"))
     steps = fit_rates(narrow, targets_of(narrow, model.domains, weights))
+    prefix = ""
+    while any(c.lower().startswith(f"{prefix}_") for c in docs.columns):
+        prefix += "_"
     u = F.pmod(F.xxhash64(F.coalesce(F.col(doc_id), F.lit(0)), F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-    columns = [F.col(c) for c in docs.columns]
-    counted = with_posteriors(docs, model, text).withColumn("_copies", F.floor(rate(steps) + u).cast("int"))
-    return counted.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    copies, copy = free_name(docs, "copies"), free_name(docs, "copy")
+    counted = with_posteriors(docs, model, text, prefix).withColumn(copies, F.floor(rate(steps, prefix) + u).cast("int"))
+    return counted.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
