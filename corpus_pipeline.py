@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrydeck.llm import lang_id, mixing, near_dedup, packing, secret_scan
-from quarrydeck.llm.common import checkpoint_dir, cut, ship_code, table
+from quarrydeck.llm.common import checkpoint_dir, cut, free_name, ship_code, table
 
 #: Posterior under which a predicted language isn't trusted.
 LEAST_SCORE = 0.5
@@ -21,33 +21,59 @@ BROADCAST_IDS = 1_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: those without letters, without text or with an uncertain language go."""
+    """Documents whose language is known: those without letters, without text or with an uncertain language go.
+
+    Where no document has a language to learn from, only those without letters or text go.
+    """
     model = lang_id.learned(docs.select("doc_id", "text", "lang"))
-    marked = lang_id.with_language(docs, model, lang_out="_lang", score_out="_score")
-    return marked.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_SCORE)).drop("_lang", "_score")
+    if not model[0]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "score")
+    marked = lang_id.with_language(docs, model, lang_out=lang, score_out=score)
+    return marked.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity of 0.8), that of the smallest doc_id; repeated rows of an id count as one."""
-    found = cut(near_dedup.near_duplicates(docs).select("doc_id", "kept"))
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    """One document of each group of near copies (five words, similarity of 0.8), that of the smallest doc_id.
+
+    Where ids repeat or are null, rows go by their place in the table instead: of each group the
+    first row stays, and different texts of one id all do.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if ids.isEmpty():
+        return _without(docs, "doc_id", near_dedup.near_duplicates(docs))
+    row = free_name(docs, "row")
+    named = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    return _without(named, row, near_dedup.near_duplicates(named, doc_id=row)).drop(row)
+
+
+def _without(docs: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """docs without the rows that aren't kept; key names each row once."""
+    gone = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias(key)))
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return left
-    repeated = F.coalesce(F.col("_again"), F.lit(False))
-    marked = left.join(again.withColumn("_again", F.lit(True)), "doc_id", "left")
-    return marked.where(~repeated).select(*docs.columns).union(marked.where(repeated).dropDuplicates(["doc_id"]).select(*docs.columns))
+    return docs.join(gone, key, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the secrets in their texts (private keys whole) masked and n_chars counted anew where a text changed."""
-    ledger = cut(secret_scan.scan(docs, rules=secret_scan.MASKED))
-    marked = secret_scan.report(docs, ledger).withColumn("text", secret_scan.redacted(F.col("text"), F.col("_hits")))
-    n = F.when(F.size("_hits") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return marked.withColumn("n_chars", n).select(*docs.columns)
+    """All documents, with the secrets in their texts (private keys whole) masked and n_chars counted anew where a text changed.
+
+    With a folder in the setting ``spark.quarrydeck.secretLedger`` the ledger of earlier runs is
+    read from it and added to, so that only blobs that are new to it are scanned.
+    """
+    kept = spark.conf.get("spark.quarrydeck.secretLedger", None)
+    path = kept or f"{checkpoint_dir(spark).rstrip('/')}/secret-ledger-{uuid.uuid4().hex}"
+    known = None
+    if kept:
+        secret_scan.save_ledger(secret_scan.empty_ledger(spark), path)
+        known = spark.read.schema(secret_scan.LEDGER).parquet(path)
+    ledger = secret_scan.save_ledger(secret_scan.scan(docs, known, rules=secret_scan.MASKED), path)
+    changed = free_name(docs, "changed")
+    wanted = F.array(*[F.lit(r.key) for r in secret_scan.MASKED])
+    held = ledger.withColumn("findings", F.filter("findings", lambda f: F.array_contains(wanted, f["rule"])))
+    marked = secret_scan.masked(docs, held, changed=changed)
+    n = F.when(F.col(changed), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return marked.withColumn("n_chars", n).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
