@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -29,7 +30,7 @@ END_ID = 2
 CAPACITY = 4096
 GROUP = 256
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-#: Entries of a worker's memos of encoded words; when full they start anew.
+#: Entries of one of the two generations of a worker's memo of encoded words.
 MEMO = 400_000
 
 #: Characters for which the short cut splits as the tokenizer does: ASCII without the separators that only Python takes for white space, and Latin letters up to U+024F without the one that lower-cases to two characters.
@@ -38,33 +39,33 @@ _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-class _Words(dict):
-    """Ids of a plain word as bytes (unsigned 32-bit, little-endian), by the library."""
+class _Chunks(dict):
+    """Ids, as bytes (unsigned 32-bit, little-endian), of what stands between white space in a plain text.
+
+    The library's model encodes each word once. When the memo is full it becomes the older
+    generation, which still answers (and hands back what is asked for) until the next is full.
+    """
 
     def __init__(self, tokenizer, memo: int):
         super().__init__()
-        self.tokenizer, self.memo = tokenizer, memo
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= self.memo:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
-class _Chunks(dict):
-    """Ids of what stands between white space."""
+        from tokenizers import pre_tokenizers
 
-    def __init__(self, words: _Words, memo: int):
-        super().__init__()
-        self.word, self.memo = words.__getitem__, memo
+        self.tokenize, self.memo, self.older = tokenizer.model.tokenize, memo, {}
+        # the library's own form of each character's UTF-8 bytes
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.table = {ord(c): to_bytes(c)[0][0] for k in range(0x250) if _PLAIN.fullmatch(chr(k)) for c in chr(k).lower() if not c.isspace()}
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = b"".join(map(self.word, _WORDS.findall(chunk)))
+        ids = self.older.get(chunk)
+        if ids is None:
+            words = (chunk,) if chunk.isalpha() else _WORDS.findall(chunk)
+            if len(words) == 1 and words[0] == chunk:
+                ids = array("I", [t.id for t in self.tokenize(chunk if chunk.isascii() and chunk.isalpha() else chunk.translate(self.table))]).tobytes()
+            else:
+                ids = b"".join(map(self.__getitem__, words))
         if len(chunk) <= 64:
             if len(self) >= self.memo:
+                self.older = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
@@ -75,20 +76,20 @@ def encoder(name: str = TOKENIZER, memo: int = MEMO) -> Callable[[str | None], b
     """A function that gives the ids of a text, as bytes, as the library has them.
 
     The tokenizer drops white space, lower-cases, and merges within words only. A plain text
-    is thus the join of its words, each encoded by the library once and kept in a bounded
-    memo. Any other text (other scripts, combining marks, special tokens) goes to the library
-    whole.
+    is thus the join of its words, each encoded by the library's model once and kept in a
+    bounded memo. Any other text (other scripts, combining marks, special tokens) goes to the
+    library whole.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path(name))
-    chunk = _Chunks(_Words(tokenizer, memo), memo).__getitem__
+    chunk = _Chunks(tokenizer, memo).__getitem__
 
     def ids(text: str | None) -> bytes:
         if not text:
             return b""
         if "<|" in text or not _PLAIN.fullmatch(text):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(chunk, text.lower().split()))
 
     return ids
@@ -172,7 +173,7 @@ def packed(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, packer, end = encoder(tokenizer), Packer(capacity, linear, quadratic), np.array([end_id], "<u4").tobytes()
+        encode, packer, end = encoder(tokenizer), Packer(capacity, linear, quadratic), array("I", [end_id]).tobytes()
         context = TaskContext.get()
         next_id = (context.partitionId() if context else 0) << 40
         docs: dict[int, tuple[int | None, bytes]] = {}
