@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from test_dealt import DOCS, brute_components, prose
 
@@ -53,3 +54,44 @@ def test_private_keys_are_masked_whole(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOCS)
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.secrets(spark, docs, str(tmp_path)).collect()}
     assert got == {0: "a [secret] b [secret] c", 1: "a [secret] b", 2: f"a [secret] b {end.format('')} c", 3: "[secret] " * 3000}
+
+
+def test_without_labels_texts_stay(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some words", None, "s", 1), (2, "12 ½", None, "s", 1), (3, None, None, "s", 1)], DOCS)
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, str(tmp_path)).collect()] == [1]
+
+
+def test_different_texts_of_one_id_stay(spark, tmp_path):
+    rng = random.Random(3)
+    a, b, c = (prose(rng, 40) for _ in range(3))
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, b, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "s", 1), (None, None, "en", "s", 1)], DOCS)
+    got = corpus_pipeline.near_dedup_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, (r["text"] for r in got))) == sorted(map(str, [a, b, c, None]))
+
+
+def test_columns_of_any_name_stay(spark, folder, tmp_path):
+    names = ["row", "changed", "lang_pred", "score", "_tokens", "_p0", "__p1", "copies", "copy", "blob", "spans", "_blob", "kept"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for k, c in enumerate(names):
+        docs = docs.withColumn(c, F.lit(-k))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        assert out.select(*names).distinct().collect() == [tuple(-k for k in range(len(names)))]
+
+
+def test_empty_documents(spark, folder, tmp_path):
+    docs = spark.createDataFrame([], DOCS)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).count() == 0
+
+
+def test_a_kept_ledger_is_read_and_added_to(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "token=abcdefgh", "en", "s", 1), (2, "é" * 9, "en", "s", 9)], DOCS)
+    spark.conf.set("spark.quarrydeck.secretLedger", f"{tmp_path}/ledger")
+    try:
+        for _ in range(2):
+            assert {r["doc_id"]: r["text"] for r in corpus_pipeline.secrets(spark, docs, str(tmp_path)).collect()} == {1: "[secret]", 2: "é" * 9}
+        assert spark.read.parquet(f"{tmp_path}/ledger").count() == 2
+    finally:
+        spark.conf.unset("spark.quarrydeck.secretLedger")
