@@ -102,6 +102,12 @@ def import_score(n: Column) -> Column:
     return F.when(n <= 8, n * 10).otherwise(n + 72)
 
 
+def dto_penalty(exported: Column, data: Column, code: Column) -> Column:
+    """Less for a file that exports data types and next to nothing else: all, or four and four fifths, and no code."""
+    mostly = (data == exported) | ((data >= 4) & (5 * data >= 4 * exported))
+    return F.when((exported >= 1) & (code == 0) & mostly, -12).otherwise(0)
+
+
 def impact_risk(importers: Column, boundaries: Column, untested_exports: Column) -> Column:
     high = (importers > 10) | ((boundaries > 0) & (importers > 3))
     return F.when(high, "high").when((importers > 3) | (boundaries > 0) | untested_exports, "medium").otherwise("low")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Words that say nothing about a goal.
@@ -16,11 +18,24 @@ refactor improve cleanup""".split()
 NEGATIONS = ["not", "without", "except", "no"]
 
 
+def _token(word: str) -> str:
+    """A pattern that takes ``word`` as a whole token: a run of ASCII letters, digits and hyphens, but for hyphens at its ends."""
+    return rf"(?<![a-z0-9-])-*+{word}-*+(?![a-z0-9-])"
+
+
+#: A token that isn't a stop word; group 1 is the token.
+TOKEN = rf"(?<![a-z0-9-])-*+(?!(?:{'|'.join(STOP_WORDS)})-*+(?![a-z0-9-]))([a-z0-9](?:[a-z0-9-]*[a-z0-9])?)"
+
+
 def goal_tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters, digits and inner hyphens, without stop words, in order."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9-]+"), F.lit(0))
-    trimmed = F.transform(found, lambda t: F.regexp_replace(t, "^-+|-+$", ""))
-    return F.filter(trimmed, lambda t: (t != "") & ~t.isin(*STOP_WORDS))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
+
+
+def token_count(text: Column, word: str | None = None) -> Column:
+    """How many goal tokens a text has, or how many of them are ``word``; no array of them is made."""
+    pattern = TOKEN if word is None else _token(re.escape(word))
+    return F.regexp_count(F.lower(text), F.lit(pattern))
 
 
 def signed_tokens(text: Column) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Items in one ordered fold; a longer list is folded in runs of this length, the budget carried on.
-RUN = 4096
+from quarrydeck.session import cut
+
+from .joins import small
 
 
 def running(df: DataFrame, order: list[str], cost: str, out: str = "used", parts: int = 64) -> DataFrame:
@@ -34,33 +35,31 @@ def header_cutoff(df: DataFrame, order: list[str], cost: str, limit: int) -> Dat
     return running(df, order, cost).withColumn("shown", F.col("used") <= limit)
 
 
-def greedy(df: DataFrame, order: str, cost: str, limit: int, key: str) -> DataFrame:
+def greedy(df: DataFrame, order: list[str], cost: str, limit: int, key: str) -> DataFrame:
     """key, taken, used: rows in order, each taken if it fits into what is left; a row that doesn't fit is skipped.
 
-    Each decision depends on those before it, so the fold is ordered; it holds (order, key, cost)
-    alone, in JVM arrays of at most RUN rows, with the budget carried from run to run.
+    Rows up to the first that doesn't fit are taken by a running sum; after it only rows that fit
+    into what is left can be taken, and so on. Each pass reads the numbered (position, cost) table
+    in parts; the driver holds where each pass ended and what was left. There are as many passes as
+    rows that don't fit after the rows too large for what was left before them are set aside, which
+    are few unless costs are made for it.
     """
-    narrow = df.select(F.col(order).alias("o"), F.col(key).alias("k"), F.col(cost).cast("long").alias("c"))
-    numbered = narrow.withColumn("n", F.row_number().over(Window.orderBy("o", "k")) - 1).withColumn("run", F.floor(F.col("n") / RUN)).drop("n")
-    runs = numbered.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("o", "k", "c"))).alias("items"))
-    spark, used, out = df.sparkSession, 0, None
-    count = runs.count()
-    kind = dict(narrow.dtypes)["k"]
-    row = f"struct<k:{kind},taken:boolean,used:bigint>"
-    for i in range(count):
-        start = F.struct(F.lit(used).cast("long").alias("used"), F.expr(f"cast(array() as array<{row}>)").alias("out"))
-
-        def step(acc, x):
-            fits = acc["used"] + x["c"] <= limit
-            now = F.when(fits, acc["used"] + x["c"]).otherwise(acc["used"])
-            return F.struct(now.alias("used"), F.concat(acc["out"], F.array(F.struct(x["k"].alias("k"), fits.alias("taken"), now.alias("used")))).alias("out"))
-
-        one = runs.where(F.col("run") == i).select(F.aggregate("items", start, step).alias("a"))
-        if i + 1 < count:
-            used = one.select("a.used").first()[0]
-        rows = one.select(F.explode("a.out").alias("r")).select(F.col("r.k").alias(key), "r.taken", "r.used")
-        out = rows if out is None else out.union(rows)
-    return out if out is not None else spark.createDataFrame([], f"{key} {kind}, taken boolean, used bigint")
+    one = df.select(*[o.lstrip("-") for o in order], F.col(key).alias("_k"), F.col(cost).cast("long").alias("_c")).withColumn("_1", F.lit(1))
+    rows = cut(running(one, order, "_1", "_n").select("_n", "_k", "_c"))
+    start, left, passes = 0, limit, []
+    while True:
+        fits = running(rows.where((F.col("_n") > start) & (F.col("_c") <= left)), ["_n"], "_c", "_sum")
+        got = fits.agg(F.min(F.when(F.col("_sum") > left, F.col("_n"))).alias("stop"), F.max(F.when(F.col("_sum") <= left, F.col("_sum"))).alias("spent")).first()
+        passes.append((got["stop"], left))
+        if got["stop"] is None:
+            break
+        start, left = got["stop"] - 1, left - (got["spent"] or 0)
+    taken = F.lit(False)
+    for stop, room in reversed(passes):
+        fit = F.col("_c") <= room
+        taken = fit if stop is None else F.when(F.col("_n") < stop, fit).otherwise(taken)
+    marked = rows.withColumn("_taken", taken).withColumn("_spent", F.when(F.col("_taken"), F.col("_c")).otherwise(0))
+    return running(marked, ["_n"], "_spent").select(F.col("_k").alias(key), F.col("_taken").alias("taken"), F.col("used").cast("long").alias("used"))
 
 
 def enriched_cost(symbols: DataFrame) -> DataFrame:
@@ -82,16 +81,16 @@ def detail_levels(files: DataFrame, max_tokens: int) -> DataFrame:
     shown = header_cutoff(files, ["rank"], "header", int(0.7 * budget)).select("path", "rank", "summary", "cost", "header", "shown")
     inside = shown.where("shown")
     base = inside.agg(F.coalesce(F.sum("header"), F.lit(0))).first()[0]
-    one = greedy(inside.where("summary > 0"), "rank", "summary", budget - base, "path")
+    one = greedy(inside.where("summary > 0"), ["rank"], "summary", budget - base, "path")
     got = inside.join(one.where("taken").select("path", F.lit(1).alias("level")), "path", "left").withColumn("level", F.coalesce("level", F.lit(0)))
     spent = base + (got.where("level = 1").agg(F.coalesce(F.sum("summary"), F.lit(0))).first()[0])
-    more = greedy(got.where("level = 1").withColumn("extra", F.col("cost") - F.col("summary")), "rank", "extra", budget - spent, "path")
+    more = greedy(got.where("level = 1").withColumn("extra", F.col("cost") - F.col("summary")), ["rank"], "extra", budget - spent, "path")
     done = got.join(more.where("taken").select("path", F.lit(2).alias("up")), "path", "left").select("path", "rank", F.coalesce("up", "level").alias("level"))
     return done.union(shown.where("not shown").select("path", "rank", F.lit(-1).alias("level")))
 
 
 def apply_overrides(levels: DataFrame, rules: DataFrame) -> DataFrame:
     """levels with the level that a rule (pattern, a regular expression, and level) forces on a path; the first pattern in byte order wins."""
-    hit = levels.join(F.broadcast(rules), F.expr("path rlike pattern"), "left")
+    hit = levels.join(small(rules, 10_000), F.expr("path rlike pattern"), "left")
     forced: Column = F.min(F.when(F.col("pattern").isNotNull(), F.struct("pattern", F.col("forced"))))
     return hit.groupBy("path", "rank", "level").agg(forced.alias("f")).select("path", "rank", F.coalesce("f.forced", "level").alias("level"))

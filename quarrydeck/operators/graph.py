@@ -23,9 +23,9 @@ def closure(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int =
         longer = seen.select("src", F.col("dst").alias("mid")).join(seen.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").where("src <> dst").distinct()
         new = cut(longer.join(seen, ["src", "dst"], "left_anti"))
         if new.isEmpty():
-            break
+            return seen
         seen = cut(seen.union(new))
-    return seen
+    raise RuntimeError(f"paths go on after {rounds} rounds of doubling")
 
 
 def transitive_scores(edges: DataFrame, each: int = 5, cap: int = 50) -> DataFrame:

@@ -25,9 +25,9 @@ def symbol_bonus(symbols: DataFrame, path: str = "path", cap: int = 20) -> DataF
 def prefix_rules(imports: DataFrame, rules: DataFrame, cap: int = 15) -> DataFrame:
     """path, labels (sorted, joined), bump: each label of the rules whose prefix an import begins with counts once; at most ``cap``.
 
-    rules: label, prefix, bump; a fixed table of a few dozen rows, so it is broadcast.
+    rules: label, prefix, bump; broadcast unless it is large.
     """
-    hits = imports.join(F.broadcast(rules), F.startswith(F.col("imp"), F.col("prefix"))).select("path", "label", "bump").distinct()
+    hits = imports.join(small(rules), F.startswith(F.col("imp"), F.col("prefix"))).select("path", "label", "bump").distinct()
     labels = F.array_join(F.array_sort(F.collect_set("label")), ",")
     return hits.groupBy("path").agg(labels.alias("labels"), F.least(F.sum("bump"), F.lit(cap)).cast("long").alias("bump"))
 
@@ -94,6 +94,28 @@ def capped_rows(df: DataFrame, group: list[str], order: list, cap: int) -> DataF
     return ranked.where(F.col("pos") <= cap).join(totals, group).withColumn("truncated", F.col("total") > cap)
 
 
+def ownership(files: DataFrame, group: str, score: str, least: int = 2) -> DataFrame:
+    """group, files, score: the groups of at least ``least`` files, with the sum of their scores."""
+    return files.groupBy(group).agg(F.count(F.lit(1)).alias("files"), F.sum(score).alias("score")).where(F.col("files") >= least)
+
+
+def coverage(files: DataFrame, group: str, tested: Column, penalty: Column) -> DataFrame:
+    """group, files, tested, covered, penalty: how many files of a group are tested, whether any is, and what its files lose."""
+    n = lambda c: F.sum(F.coalesce(c.cast("long"), F.lit(0)))
+    return files.groupBy(group).agg(F.count(F.lit(1)).alias("files"), n(tested).alias("tested"), F.bool_or(F.coalesce(tested, F.lit(False))).alias("covered"), n(penalty).alias("penalty"))
+
+
+def top_names(df: DataFrame, group: str, name: str, order: list, most: int) -> DataFrame:
+    """group, top: the first ``most`` names of each group in an order, joined by commas."""
+    top = df.withColumn("_pos", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_pos") <= most)
+    return top.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", name))), lambda x: x[name]), ", ").alias("top"))
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, marked for a broadcast if it has ``most`` rows at most."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def first_seen(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarrydeck.functions.classify import TIERS, lookup
+from quarrydeck.functions.text import goal_tokens, token_count
+from quarrydeck.session import cut
 
 K1, B = 1.2, 0.75
 
@@ -26,56 +30,82 @@ def postings(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("path", "term").agg(F.sum("weight").alias("tf"))
 
 
+def term_counts(files: DataFrame, content: str = "content") -> DataFrame:
+    """term, df (files that have it), tf of the goal tokens of all files; only one row for each term and task is shuffled. Each file is one row."""
+    tokens = files.select(goal_tokens(F.col(content)).alias("ts"))
+    both = tokens.select(F.posexplode(F.array("ts", F.array_distinct("ts"))).alias("once", "ts")).select("once", F.explode("ts").alias("term"))
+    return both.groupBy("term").agg(F.sum("once").cast("long").alias("df"), F.sum(1.0 - F.col("once")).alias("tf"))
+
+
 def corpus_stats(post: DataFrame) -> DataFrame:
     """One row: n_docs, avgdl."""
     dl = post.groupBy("path").agg(F.sum("tf").alias("dl"))
     return dl.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def idf(n: Column, df: Column) -> Column:
-    return F.log((n - df + 0.5) / (df + 0.5) + 1)
+def _like(term: str) -> Column:
+    """How a posting's term answers a goal term: 3 the same, 2 its plural, 1 its singular, 0 the same four first letters, else null."""
+    c = F.col("term")
+    out = F.when(c == term, 3).when(c == term + "s", 2)
+    if term.endswith("s"):
+        out = out.when(c == term[:-1], 1)
+    if len(term) >= 4:
+        out = out.when((F.length(c) >= 4) & (F.substring(c, 1, 4) == term[:4]), 0)
+    return out
 
 
-def weighted_tf(post: DataFrame, terms: list[str]) -> DataFrame:
-    """path, pos, wtf: the tf of each goal term, or 0.9 of its plural's or singular's, or the best 0.6 of a term with the same four first letters.
+def goal_table(post: DataFrame, terms: list[str], exact: bool = False) -> DataFrame:
+    """path, dl and, for each goal term, w0, w1, ... (its weighted tf, null if none) and e0, e1, ... (its own tf), in one aggregate.
 
-    Postings are reduced to those that can match before they are grouped.
+    The weighted tf is the tf of the term, or 0.9 of its plural's or singular's, or the best 0.6
+    of a term with the same four first letters.
     """
-    asked = post.sparkSession.createDataFrame([(i, t) for i, t in enumerate(terms)], "pos int, q string")
-    like = F.when(F.col("term") == F.col("q"), 3)
-    like = like.when(F.col("term") == F.concat("q", F.lit("s")), 2).when(F.col("q") == F.concat("term", F.lit("s")), 1)
-    like = like.when((F.length("q") >= 4) & (F.length("term") >= 4), 0)
-    near = (F.substring("term", 1, 4) == F.substring("q", 1, 4)) | (F.col("term") == F.col("q")) | (F.concat("term", F.lit("s")) == F.col("q")) | (F.concat("q", F.lit("s")) == F.col("term"))
-    hits = post.join(F.broadcast(asked), near).withColumn("like", like).where("like is not null")
-    value = F.when(F.col("like") == 3, F.col("tf")).when(F.col("like") > 0, 0.9 * F.col("tf")).otherwise(0.6 * F.col("tf"))
-    return hits.groupBy("path", "pos").agg(F.max(F.struct("like", value.alias("wtf"))).alias("m")).select("path", "pos", F.col("m.wtf").alias("wtf"))
+    columns = [F.sum("tf").alias("dl")]
+    for i, t in enumerate(terms):
+        own = F.max(F.when(F.col("term") == t, F.col("tf").cast("double")))
+        value = F.when(_like(t) == 3, F.col("tf")).when(_like(t) > 0, 0.9 * F.col("tf")).otherwise(0.6 * F.col("tf")).cast("double")
+        best = own if exact else F.max(F.when(_like(t).isNotNull(), F.struct(_like(t).alias("like"), value.alias("wtf"))))["wtf"]
+        columns += [best.alias(f"w{i}"), own.alias(f"e{i}")]
+    return post.groupBy("path").agg(*columns)
 
 
-def bm25(post: DataFrame, terms: list[str], exact: bool = False) -> DataFrame:
-    """path, bm25 of the files that match any term: the terms' scores and a bonus for each pair of neighbours that both match."""
+def goal_counts(files: DataFrame, terms: list[str], content: str = "content") -> DataFrame:
+    """goal_table with exact terms, straight from whole texts: each row counts its own tokens, and nothing is shuffled."""
+    text = F.col(content)
+    tf = lambda t: F.nullif(token_count(text, t), F.lit(0)).cast("double")
+    counts = [c for i, t in enumerate(terms) for c in (tf(t).alias(f"w{i}"), tf(t).alias(f"e{i}"))]
+    return files.select("path", token_count(text).cast("double").alias("dl"), *counts)
+
+
+def bm25_scores(table: DataFrame, terms: list[str], pairs: bool = False) -> DataFrame:
+    """path, bm25 of the rows of a goal table (goal_table or goal_counts) that match any term; with ``pairs`` a bonus for each pair of neighbouring terms that both match.
+
+    The table has a few numbers a file; it is checkpointed, as the corpus' statistics come first.
+    """
     if not terms:
-        return post.sparkSession.createDataFrame([], "path string, bm25 double")
-    post = post.persist()  # read for lengths, document counts and the terms' postings
-    stats = F.broadcast(corpus_stats(post))
-    dl = post.groupBy("path").agg(F.sum("tf").alias("dl"))
-    asked = post.sparkSession.createDataFrame([(i, t) for i, t in enumerate(terms)], "pos int, term string")
-    found = post.where(F.col("term").isin(terms)).groupBy("term").agg(F.countDistinct("path").alias("df"))
-    weights = asked.join(found, "term", "left").select("pos", F.coalesce("df", F.lit(0)).alias("df")).join(stats).withColumn("idf", idf(F.col("n_docs"), F.col("df")))
-    if exact:
-        tf = post.join(F.broadcast(asked), "term").select("path", "pos", F.col("tf").alias("wtf"))
-    else:
-        tf = weighted_tf(post, terms)
-    rows = tf.where("wtf > 0").join(F.broadcast(weights), "pos").join(dl, "path")
-    part = F.col("wtf") * (K1 + 1) / (F.col("wtf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("idf")
-    scored = rows.select("path", "pos", "idf", part.alias("part"))
-    if exact:
-        return scored.groupBy("path").agg(F.sum("part").alias("bm25"))
-    by_path = scored.groupBy("path").agg(F.sum("part").alias("base"), F.map_from_entries(F.collect_list(F.struct("pos", "idf"))).alias("hit"))
-    pairs = F.lit(0.0)
-    for i in range(len(terms) - 1):
-        a, b = F.try_element_at("hit", F.lit(i)), F.try_element_at("hit", F.lit(i + 1))
-        pairs = pairs + F.when(a.isNotNull() & b.isNotNull(), F.greatest((a + b) / 2, F.lit(1.5))).otherwise(0.0)
-    return by_path.select("path", (F.col("base") + pairs).alias("bm25"))
+        return table.sparkSession.createDataFrame([], "path string, bm25 double")
+    table = cut(table.where("dl > 0"))
+    stats = table.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"), *[F.count(f"e{i}").alias(f"df{i}") for i in range(len(terms))]).first()
+    n, avg = stats["n"], stats["avg"] or 1.0
+    weight = [F.lit(math.log((n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5) + 1)) for i in range(len(terms))]
+    part = lambda i: F.col(f"w{i}") * (K1 + 1) / (F.col(f"w{i}") + K1 * (1 - B + B * F.col("dl") / avg)) * weight[i]
+    total = sum((F.coalesce(F.when(F.col(f"w{i}") > 0, part(i)), F.lit(0.0)) for i in range(len(terms))), F.lit(0.0))
+    if pairs:
+        for i in range(len(terms) - 1):
+            both = (F.col(f"w{i}") > 0) & (F.col(f"w{i + 1}") > 0)
+            total = total + F.when(both, F.greatest((weight[i] + weight[i + 1]) / 2, F.lit(1.5))).otherwise(0.0)
+    return table.where(F.greatest(*[F.col(f"w{i}") for i in range(len(terms))], F.lit(0.0)) > 0).select("path", total.alias("bm25"))
+
+
+def bm25(post: DataFrame, terms: list[str], exact: bool = False) -> DataFrame:
+    """path, bm25 of the files whose postings match any term: the terms' scores and, unless ``exact``, near terms and the bonus for pairs."""
+    return bm25_scores(goal_table(post, terms, exact), terms, pairs=not exact)
+
+
+def matching(post: DataFrame, terms: list[str]) -> DataFrame:
+    """path of the files that match any of the terms, near ones included."""
+    near = F.coalesce(*[_like(t) for t in terms])
+    return post.where(near.isNotNull() & (F.col("tf") > 0)).select("path").distinct()
 
 
 def with_intent(ranked: DataFrame, scores: DataFrame, negated: DataFrame | None = None) -> DataFrame:

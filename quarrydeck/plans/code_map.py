@@ -105,7 +105,6 @@ class CodeMap:
         base, stem = T.basename(F.col("path")), T.stem(F.col("path"))
         test = classify.is_test_file(F.col("path"))
         orient = F.when(stem == F.col("package"), 25).otherwise(0) + F.when(base == "types.go", 20).otherwise(0) + F.when((F.col("folder") == ".") & (F.col("language") == "go") & ~test, 8).otherwise(0)
-        mostly = (F.col("n_data") == F.col("n_exported")) | ((F.col("n_data") >= 4) & (5 * F.col("n_data") >= 4 * F.col("n_exported")))
         parts = {
             "entry": classify.entry_boost(F.col("path")),
             "orientation": F.when(base == "main.go", 0).otherwise(F.least(orient, F.lit(35))),
@@ -114,7 +113,7 @@ class CodeMap:
             "imports": classify.import_score(F.col("imported_by")),
             "transitive": F.col("transitive"),
             "boundary": F.col("boundary"),
-            "dto": F.when((F.col("n_exported") >= 1) & (F.col("n_code") == 0) & mostly, -12).otherwise(0),
+            "dto": classify.dto_penalty(F.col("n_exported"), F.col("n_data"), F.col("n_code")),
             "intra_refs": F.col("intra_refs"),
             "call_sites": F.col("call_sites"),
             "test_demote": F.when(test & ~F.lit(include_tests), -40).otherwise(0),
@@ -135,7 +134,7 @@ class CodeMap:
         terms = [r["token"] for r in signed if not r["negated"]]
         scores = ranking.bm25(post, terms)
         against = [r["token"] for r in signed if r["negated"]]
-        negated = ranking.weighted_tf(post, against).where("wtf > 0").select("path").distinct() if against else None
+        negated = ranking.matching(post, against) if against else None
         return ranking.with_intent(self.ranked.select("path", "score"), scores, negated)
 
     def postings(self) -> DataFrame:
@@ -187,7 +186,7 @@ class CodeMap:
     def ownership(self, goal: str = "", top: int = 5) -> DataFrame:
         """Folders with two or more files by their files' scores."""
         scores = self.for_goal(goal).select("path", "score") if goal else self.ranked.select("path", "score")
-        by = scores.groupBy(T.dirname(F.col("path")).alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum("score").alias("score")).where("files >= 2")
+        by = joins.ownership(scores.withColumn("folder", T.dirname(F.col("path"))), "folder", "score")
         return joins.ranked(by, [F.desc("score"), "folder"], limit=top)
 
     def routes(self) -> DataFrame:

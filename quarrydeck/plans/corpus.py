@@ -15,7 +15,7 @@ from .registry import query
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _PATH = "source || '/' || lang || '/doc_' || doc_id"
 #: The goal of the ranking queries.
-GOAL = ["token", "secret", "the"]
+ASKED = ["token", "erhe", "thion", "password"]
 _TOKENS = f"""
 with t as (select doc_id, {_PATH} as path, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9-]+')) as raw from documents),
 w as (select doc_id, path, regexp_replace(raw, '^-+|-+$', '', 'g') as term from t),
@@ -24,20 +24,15 @@ dl as (select path, sum(tf) as dl from p group by 1),
 st as (select count(*) as n_docs, avg(dl) as avgdl from dl)"""
 
 
-def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = document_files(spark, sf_dir)
-    tokens = files.select("path", F.explode(T.goal_tokens(F.col("content"))).alias("term"), F.lit(1.0).alias("weight"))
-    return ranking.postings(tokens)
-
-
 @query("e11_postings", _TOKENS + " select term, count(*) as df, sum(tf) as tf from p group by 1")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_postings(spark, sf_dir).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+    return ranking.term_counts(document_files(spark, sf_dir))
 
 
 @query("e11b_corpus_stats", _TOKENS + " select n_docs, round(avgdl, 6) as avgdl from st")
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.corpus_stats(doc_postings(spark, sf_dir)).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    counted = ranking.goal_counts(document_files(spark, sf_dir), []).where("dl > 0")
+    return counted.agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("dl"), 6).alias("avgdl"))
 
 
 _BM25 = (
@@ -51,7 +46,24 @@ s as (select p.path, sum(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) * ln
 
 @query("e12_bm25", _BM25 + " select path, round(s, 6) as bm25 from s")
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.bm25(doc_postings(spark, sf_dir), ["token", "erhe", "thion", "password"], exact=True).select("path", F.round("bm25", 6).alias("bm25"))
+    return ranking.bm25_scores(ranking.goal_counts(document_files(spark, sf_dir), ASKED), ASKED).select("path", F.round("bm25", 6).alias("bm25"))
+
+
+@query(
+    "e12b_near_terms",
+    _TOKENS
+    + """, q as (select unnest([0, 1, 2]) as pos, unnest(['token', 'secrets', 'anders']) as q),
+df as (select q.pos, ln((n_docs - count(p.path) + 0.5) / (count(p.path) + 0.5) + 1) as idf from q left join p on p.term = q.q cross join st group by q.pos, n_docs),
+m as (select p.path, pos, tf, case when term = q then 3 when term = q || 's' then 2 when q = term || 's' then 1 when length(term) >= 4 and left(term, 4) = left(q, 4) then 0 end as k from p, q),
+h as (select path, pos, max(struct_pack(k := k, w := case when k = 3 then tf when k > 0 then 0.9 * tf else 0.6 * tf end)).w as w from m where k is not null group by 1, 2),
+s as (select path, sum(w * 2.2 / (w + 1.2 * (0.25 + 0.75 * dl / avgdl)) * idf) as s, map_from_entries(list((pos, idf))) as hit from h join df using (pos) join dl using (path), st group by 1)
+select path, round(s + case when hit[0] is not null and hit[1] is not null then greatest((hit[0] + hit[1]) / 2, 1.5) else 0 end
+  + case when hit[1] is not null and hit[2] is not null then greatest((hit[1] + hit[2]) / 2, 1.5) else 0 end, 6) as bm25 from s""",
+)
+def near_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A goal with near terms and the bonus for pairs of neighbours."""
+    tokens = document_files(spark, sf_dir).select("path", F.explode(T.goal_tokens(F.col("content"))).alias("term"), F.lit(1.0).alias("weight"))
+    return ranking.bm25(ranking.postings(tokens), ["token", "secrets", "anders"]).select("path", F.round("bm25", 6).alias("bm25"))
 
 
 @query(
@@ -64,7 +76,7 @@ select path, before, trunc(x)::bigint - before as intent, trunc(x)::bigint as sc
 def rank_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: files ranked by a structural score and how well they answer a goal; the first twenty."""
     base = table(spark, sf_dir, "documents").select(doc_path().alias("path"), (10 + F.floor(F.col("n_chars") / 100)).cast("long").alias("score"))
-    scores = ranking.bm25(doc_postings(spark, sf_dir), ["token", "erhe", "thion", "password"], exact=True)
+    scores = ranking.bm25_scores(ranking.goal_counts(document_files(spark, sf_dir), ASKED), ASKED)
     out = ranking.with_intent(base, scores)
     top = out.select("path", (F.col("score") - F.col("intent")).alias("before"), "intent", "score")
     return joins.ranked(top, [F.desc("score"), "path"], limit=20)
@@ -189,7 +201,7 @@ from documents left join labels using (doc_id) group by 1""",
 )
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return d.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.count("quality").alias("tested"), F.bool_or(F.col("quality").isNotNull()).alias("covered"), F.sum(F.when(F.col("quality") == 0, -12).otherwise(0)).cast("long").alias("penalty"))
+    return joins.coverage(d, "source", F.col("quality").isNotNull(), F.when(F.col("quality") == 0, -12).otherwise(0))
 
 
 @query(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrydeck.functions import classify, text as T
-from quarrydeck.operators import changes, graph, joins, ranking
+from quarrydeck.operators import changes, graph, joins, ranking, summaries
 from quarrydeck.operators.budget import greedy, header_cutoff
 from quarrydeck.sources import snapshots
 from quarrydeck.sources.adapters import order_imports, part_symbols, table
@@ -47,11 +47,11 @@ def handles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "e03_boundary_rules",
     f"""
-with hits as (select distinct p_brand as path, label, bump from part, {_RULES_SQL} where starts_with(p_type, prefix) and p_size > 40)
+with hits as (select distinct p_brand as path, label, bump from part, {_RULES_SQL} where starts_with(p_type, prefix))
 select path, string_agg(label, ',' order by label) as labels, least(sum(bump), 15)::bigint as bump from hits group by path""",
 )
 def boundary_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    imports = table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_brand").alias("path"), F.col("p_type").alias("imp"))
+    imports = table(spark, sf_dir, "part").select(F.col("p_brand").alias("path"), F.col("p_type").alias("imp"))
     return joins.prefix_rules(imports, spark.createDataFrame(RULES, "label string, prefix string, bump int"))
 
 
@@ -60,7 +60,7 @@ def boundary_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 select l_partkey as imp, count(distinct l_orderkey) as imported_by,
        (case when count(distinct l_orderkey) <= 8 then count(distinct l_orderkey) * 10 else count(distinct l_orderkey) + 72 end)::bigint as score
-from lineitem where l_returnflag = 'R' group by 1""",
+from lineitem group by 1""",
 )
 def importers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.importer_counts(order_imports(spark, sf_dir))
@@ -137,32 +137,33 @@ def transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "e08_package_deps",
     """
-with e as (select distinct p_brand as src, 'supplier_' || l_suppkey as dst from lineitem join part on l_partkey = p_partkey where l_quantity > 48)
+with e as (select distinct p_brand as src, 'supplier_' || l_suppkey as dst from lineitem join part on l_partkey = p_partkey)
 select src as package, string_agg(dst, ',' order by dst) as deps, count(*) as n_deps from e group by 1""",
 )
 def package_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select("l_partkey", "l_suppkey")
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     edges = li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("src"), F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")).alias("dst"))
     return graph.package_deps(edges)
 
 
 _CO_SQL = """
-with o as (select distinct user_id as item, event_type || '@' || date_trunc('hour', ts) as g from events where value > 60),
+with o as (select distinct user_id as item, event_type || '@' || date_trunc('hour', ts) as g from events),
 p as (select a.item as a, b.item as b, count(*) as n from o a join o b on a.g = b.g and a.item < b.item group by 1, 2)"""
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = F.date_format(F.date_trunc("hour", F.col("ts")), "yyyy-MM-dd HH")
-    return table(spark, sf_dir, "events").where("value > 60").select(F.col("user_id").alias("item"), F.concat(F.col("event_type"), F.lit("@"), hour).alias("g"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.concat(F.col("event_type"), F.lit("@"), hour).alias("g"))
 
 
 @query(
     "e09_components",
     _CO_SQL.replace("with o", "with recursive o")
     + """, e as (select a as src, b as dst from p where n >= 2 union select b, a from p where n >= 2),
-w(src, dst) as (select src, dst from e union select w.src, e.dst from w join e on w.dst = e.src)
-select src as node, least(src, min(dst)) as component from w group by src""",
+w(node, component) using key (node) as (select distinct src, src from e
+  union select e.dst, min(w.component) from w join e on e.src = w.node join recurring.w c on c.node = e.dst where w.component < c.component group by e.dst)
+select node, component from w""",
 )
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = changes.co_change(_changes(spark, sf_dir), "g", "item", 2)
@@ -215,8 +216,8 @@ select s_suppkey, taken, used::bigint as used from g""",
 )
 def greedy_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    items = s.select("s_suppkey", F.struct((-F.col("s_acctbal")).alias("b"), "s_suppkey").alias("o"), (F.col("s_suppkey") * 37 % 101 + 5).alias("cost"))
-    return greedy(items, "o", "cost", 1500, "s_suppkey")
+    items = s.select("s_suppkey", "s_acctbal", (F.col("s_suppkey") * 37 % 101 + 5).alias("cost"))
+    return greedy(items, ["-s_acctbal", "s_suppkey"], "cost", 1500, "s_suppkey")
 
 
 @query(
@@ -280,16 +281,17 @@ def sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _EDGES_SQL = """
 with e as (
-  select least(l_partkey, l_suppkey) as a, greatest(l_partkey, l_suppkey) as b, 0.8 as weight, 'symbol-dep' as reason from lineitem where l_quantity = 50
-  union all select least(l_partkey, l_suppkey), greatest(l_partkey, l_suppkey), 0.3, 'sibling' from lineitem where l_tax = 0.08
-  union all select least(l_partkey, l_suppkey), greatest(l_partkey, l_suppkey), 0.5, 'co-change' from lineitem where l_discount = 0.1),
+  select least(l_partkey, l_suppkey) as a, greatest(l_partkey, l_suppkey) as b, 0.8 as weight, 'symbol-dep' as reason from lineitem where l_quantity > 45
+  union all select least(l_partkey, l_suppkey), greatest(l_partkey, l_suppkey), 0.3, 'sibling' from lineitem where l_quantity <= 45 and l_tax >= 0.04
+  union all select least(l_partkey, l_suppkey), greatest(l_partkey, l_suppkey), 0.5, 'co-change' from lineitem where l_quantity <= 45 and l_tax < 0.04),
 t as (select a, b, max(weight) as weight from e where a <> b group by 1, 2)"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    part = lambda cond, reason: li.where(cond).select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.lit(changes.WEIGHTS[reason]).alias("weight"), F.lit(reason).alias("reason"))
-    return part("l_quantity = 50", "symbol-dep").union(part("l_tax = 0.08", "sibling")).union(part("l_discount = 0.1", "co-change"))
+    """Every line item is an edge between its part and its supplier, of a kind by its quantity and tax."""
+    reason = F.when(F.col("l_quantity") > 45, "symbol-dep").when(F.col("l_tax") >= 0.04, "sibling").otherwise("co-change")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), reason.alias("reason"))
+    return li.select("a", "b", classify.lookup(changes.WEIGHTS, F.col("reason")).alias("weight"), "reason")
 
 
 @query("e24_edges", _EDGES_SQL + " select t.a, t.b, t.weight::double as weight, min(reason) as reason from t join e on e.a = t.a and e.b = t.b and e.weight = t.weight group by 1, 2, 3")
@@ -301,9 +303,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     "e24b_clusters",
     _EDGES_SQL.replace("with e as", "with recursive e as")
     + """, g as (select a as src, b as dst from t where weight >= 0.75 union select b, a from t where weight >= 0.75),
-w(src, dst) as (select src, dst from g union select w.src, g.dst from w join g on w.dst = g.src),
+w(node, component) using key (node) as (select distinct src, src from g
+  union select g.dst, min(w.component) from w join g on g.src = w.node join recurring.w c on c.node = g.dst where w.component < c.component group by g.dst),
 n as (select a as node from t union select b from t)
-select node, coalesce(least(node, m), node) as component from n left join (select src, min(dst) as m from w group by 1) on src = node""",
+select n.node, coalesce(component, n.node) as component from n left join w on w.node = n.node""",
 )
 def cluster_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = changes.combined(_edges(spark, sf_dir))
@@ -314,7 +317,7 @@ def cluster_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e25_ownership", "select s_nationkey, count(*) as files, round(sum(s_acctbal), 2) as score from supplier group by 1 having count(*) >= 2")
 def ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    return s.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("files"), F.round(F.sum("s_acctbal"), 2).alias("score")).where("files >= 2")
+    return joins.ownership(s, "s_nationkey", "s_acctbal").withColumn("score", F.round("score", 2))
 
 
 @query(
@@ -330,13 +333,13 @@ def mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "e32_division",
     """
-with l as (select distinct l_suppkey, p_type from lineitem join part on l_partkey = p_partkey where l_shipdate >= '1996-01-01' and l_shipdate < '1996-02-01')
-select s_suppkey from supplier where not exists (select 1 from (select distinct p_type from part) t where not exists (select 1 from l where l.l_suppkey = s_suppkey and l.p_type = t.p_type))""",
+with l as (select distinct l_suppkey, p_brand || p_type as item from lineitem join part on l_partkey = p_partkey)
+select s_suppkey from supplier where not exists (select 1 from (select distinct p_brand || p_type as item from part) t where not exists (select 1 from l where l.l_suppkey = s_suppkey and l.item = t.item))""",
 )
 def division(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp'1996-01-01' and l_shipdate < timestamp'1996-02-01'").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey"))
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    return joins.divides(li.join(p, "p_partkey"), p, "s_suppkey", "p_type")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", "p_type").alias("item"))
+    return joins.divides(li.join(p, "p_partkey"), p, "s_suppkey", "item")
 
 
 @query(
@@ -357,26 +360,26 @@ def range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     "e36_consumed",
     """
 with r as (select s_suppkey as path, trunc(s_acctbal - 3000)::bigint as score, s_nationkey < 4 as consumed from supplier),
-d as (select distinct l_suppkey as path, l_suppkey + l_linenumber as dep from lineitem where l_quantity > 45),
+d as (select distinct l_suppkey as path, l_suppkey + l_linenumber as dep from lineitem),
 g as (select d.path, least(15 * count(*), 45) as gain from d join r on d.dep = r.path where r.consumed group by 1)
 select r.path, score as before, consumed, ((case when consumed then trunc(score / 2)::bigint else score end) + coalesce(gain, 0))::bigint as score from r left join g using (path)""",
 )
 def consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("path"), (F.col("s_acctbal") - 3000).cast("long").alias("score"), "s_nationkey")
-    deps = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_suppkey").alias("path"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("dep"))
+    deps = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("path"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("dep"))
     return ranking.consumed_rerank(s.drop("s_nationkey"), s.where("s_nationkey < 4").select("path"), deps)
 
 
 @query(
     "e35_lanes",
     """
-with f as (select distinct case l_returnflag when 'R' then 'returns' when 'A' then 'accepted' else 'open' end as lane, 'line_' || l_linenumber || '_' || l_linestatus as path from lineitem where l_quantity > 10)
+with f as (select distinct case l_returnflag when 'R' then 'returns' when 'A' then 'accepted' else 'open' end as lane, 'line_' || l_linenumber || '_' || l_linestatus as path from lineitem)
 select lane, count(*) as n_files, string_agg(path, ',' order by path) as files from f group by 1""",
 )
 def lane_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrydeck.operators.audit import lanes
 
-    li = table(spark, sf_dir, "lineitem").where("l_quantity > 10")
+    li = table(spark, sf_dir, "lineitem")
     lane = F.when(F.col("l_returnflag") == "R", "returns").when(F.col("l_returnflag") == "A", "accepted").otherwise("open")
     return lanes(li.select(lane.alias("lane"), F.concat(F.lit("line_"), F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_linestatus")).alias("path")))
 
@@ -406,11 +409,11 @@ def rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "e39_risk_levels",
     """
-with i as (select p_partkey, p_size, count(distinct l_suppkey) as n, max(l_tax) as t from part join lineitem on l_partkey = p_partkey where l_returnflag = 'R' and l_quantity > 25 group by 1, 2)
+with i as (select p_partkey, p_size, count(distinct l_suppkey) as n, max(l_tax) as t from part join lineitem on l_partkey = p_partkey group by 1, 2)
 select p_partkey, n, case when n > 10 or (p_size > 45 and n > 3) then 'high' when n > 3 or p_size > 45 or t < 0.02 then 'medium' else 'low' end as risk from i""",
 )
 def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 25").select("l_partkey", "l_suppkey", "l_tax")
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_tax")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
     i = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_partkey", "p_size").agg(F.countDistinct("l_suppkey").alias("n"), F.max("l_tax").alias("t"))
     return i.select("p_partkey", "n", classify.impact_risk(F.col("n"), (F.col("p_size") > 45).cast("int"), F.col("t") < 0.02).alias("risk"))
@@ -419,14 +422,14 @@ def risk_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "e40_cluster_confidence",
     """
-with m as (select o_custkey as component, o_orderkey as node, o_orderpriority as type, o_orderstatus from orders where o_totalprice > 400000)
+with m as (select o_custkey as component, o_orderkey as node, o_orderpriority as type, o_orderstatus from orders)
 select component, count(*) as files, count(distinct type) as types,
        round(greatest(0.3, 1.0 - (case when count(distinct type) > 1 then 0.2 else 0 end) - (case when count(*) > 3 then 0.1 * ((count(*) - 3) // 5 + 1) else 0 end)
          - (case when count(*) > 1 and not bool_or(o_orderstatus = 'F') then 0.15 else 0 end)), 2)::double as confidence
 from m group by 1""",
 )
 def cluster_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("component"), F.col("o_orderkey").alias("node"), F.col("o_orderpriority").alias("type"), "o_orderstatus")
+    m = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("component"), F.col("o_orderkey").alias("node"), F.col("o_orderpriority").alias("type"), "o_orderstatus")
     strong = m.where("o_orderstatus = 'F'").select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.8).alias("weight"))
     return changes.cluster_facts(m.drop("o_orderstatus"), strong)
 
@@ -470,19 +473,18 @@ def dto(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     n = lambda cond: F.coalesce(F.sum(F.expr(f"cast({cond} as int)")), F.lit(0))
     c = p.groupBy(F.concat("p_brand", F.lit("/"), "p_name").alias("path")).agg(n("p_size > 5").alias("e"), n("p_size > 5 and p_type = 'PROMO'").alias("f"), n("p_size > 5 and p_type in ('SMALL', 'LARGE')").alias("d"))
-    data = (F.col("d") == F.col("e")) | ((F.col("d") >= 4) & (5 * F.col("d") >= 4 * F.col("e")))
-    return c.select("path", F.when((F.col("e") >= 1) & (F.col("f") == 0) & data, -12).otherwise(0).alias("dto"))
+    return c.select("path", classify.dto_penalty(F.col("e"), F.col("d"), F.col("f")).alias("dto"))
 
 
 @query(
     "e43_caller_bonus",
     """
-with n as (select distinct lower(p_brand) as path, p_name as name from part where p_size > 30),
+with n as (select distinct lower(p_brand) as path, p_name as name from part),
 c as (select distinct 'c' || c_nationkey as by_file, (['red ring', 'blue bolt', 'small ring', 'red widget'])[1 + (length(c_mktsegment) % 4)::integer] as name from customer)
 select path, count(distinct by_file) as callers, least(4 * count(distinct by_file), 32)::bigint as bonus from n join c using (name) group by 1""",
 )
 def caller_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = part_symbols(spark, sf_dir).where("line > 30").select(F.regexp_replace("path", "/.*", "").alias("path"), "name").distinct()
+    names = part_symbols(spark, sf_dir).select(F.regexp_replace("path", "/.*", "").alias("path"), "name").distinct()
     pick = F.element_at(F.array(*[F.lit(x) for x in ("red ring", "blue bolt", "small ring", "red widget")]), (1 + F.length("c_mktsegment") % 4).cast("int"))
     calls = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_nationkey").cast("string")).alias("path"), F.concat(pick, F.lit("()")).alias("name"))
     n = joins.call_site_counts(calls, names)
@@ -491,11 +493,14 @@ def caller_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "e44_lcp",
-    "select p_brand, min(p_name) as low, max(p_name) as high, count(*) as n from part where p_size > 20 group by 1",
+    """
+with e as (select p_brand, min(p_type || 'Of' || p_name) as lo, max(p_type || 'Of' || p_name) as hi from (select p_brand || p_type as p_brand, p_type, p_name from part) group by 1),
+f as (select *, list_max(list_filter(range(0, least(length(lo), length(hi)) + 1), lambda n: left(lo, n) = left(hi, n))) as n from e)
+select p_brand, case when lo = hi then lo else regexp_replace(left(lo, n), '[A-Z]?[a-z0-9]*$', '') end as prefix from f""",
 )
-def prefix_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_size > 20")
-    return p.groupBy("p_brand").agg(F.min("p_name").alias("low"), F.max("p_name").alias("high"), F.count(F.lit(1)).alias("n"))
+def common_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.concat("p_brand", "p_type").alias("p_brand"), F.concat("p_type", F.lit("Of"), "p_name").alias("name"))
+    return summaries.common_prefix(p, "p_brand", "name")
 
 
 @query(
@@ -504,6 +509,4 @@ def prefix_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def top_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_brand", "p_name", "p_retailprice", "p_partkey")
-    w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_name", "p_partkey")
-    top = p.withColumn("r", F.row_number().over(w)).where("r <= 2")
-    return top.groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "p_name"))), lambda x: x["p_name"]), ", ").alias("top"))
+    return joins.top_names(p, "p_brand", "p_name", [F.desc("p_retailprice"), "p_name", "p_partkey"], 2)

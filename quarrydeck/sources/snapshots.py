@@ -37,8 +37,13 @@ def worth_merging(statuses: DataFrame) -> bool:
     return bool(row["n"]) and (row["c"] or 0) <= MERGE_SHARE * row["n"]
 
 
-def digest(df: DataFrame, key: str = "path", value: str = "sha256", parts: int = 256) -> DataFrame:
-    """One row: a digest of all (key, value), the same in any order of rows. Parts are hashed first, then their hashes."""
+def digest(df: DataFrame, key: str = "path", value: str = "sha256", parts: int | None = None) -> DataFrame:
+    """One row: a digest of all (key, value), the same in any order of rows. Parts are hashed first, then their hashes.
+
+    The number of parts is a power of two that follows the number of rows, so that none grows.
+    """
+    if parts is None:
+        parts = max(256, 1 << (df.count() // 1000).bit_length())
     line = F.concat_ws("\0", F.col(key), F.col(value))
     part = df.groupBy(F.pmod(F.xxhash64(key), parts).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(line, 256))), "\n"), 256).alias("h"))
     return part.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("p").cast("string"), "h"))), "\n"), 256).alias("digest"))

@@ -131,13 +131,13 @@ def test_globs():
 def test_greedy_skips_and_goes_on(spark):
     rng = random.Random(1)
     items = [(i, rng.randrange(1, 60)) for i in range(9000)]
-    got = {r["k"]: (r["taken"], r["used"]) for r in greedy(spark.createDataFrame(items, "k long, c long"), "k", "c", 5000, "k").collect()}
+    got = {r["k"]: (r["taken"], r["used"]) for r in greedy(spark.createDataFrame(items, "k long, c long"), ["k"], "c", 5000, "k").collect()}
     used = 0
     for k, c in items:
         fits = used + c <= 5000
         used += c * fits
         assert got[k] == (fits, used)
-    assert greedy(spark.createDataFrame([], "k long, c long"), "k", "c", 5, "k").count() == 0
+    assert greedy(spark.createDataFrame([], "k long, c long"), ["k"], "c", 5, "k").count() == 0
 
 
 def test_running_sum_is_that_of_one_window(spark):
