@@ -152,3 +152,16 @@ def ranked(df: DataFrame, order: list, out: str = "rank", limit: int | None = No
     if limit is not None:
         df = df.orderBy(*order).limit(limit)
     return df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
+
+
+def adjacent_distinct(df: DataFrame, group: list[str], order: list, value: str) -> DataFrame:
+    """The rows of each group, in an order, whose value isn't that of the row before."""
+    before = F.lag(value).over(Window.partitionBy(*group).orderBy(*order))
+    first = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) == 1
+    return df.withColumn("_same", ~first & F.col(value).eqNullSafe(before)).where(~F.col("_same")).drop("_same")
+
+
+def uniform(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
+    """group, n, out: the value that all rows of a group have, null where they differ."""
+    same = F.min(value).eqNullSafe(F.max(value)) & (F.count(value) == F.count(F.lit(1)))
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.when(same, F.min(value)).alias(out))

@@ -66,4 +66,6 @@ def is_conventional(message: Column) -> Column:
     return message.rlike(r"^(feat|fix|docs|style|refactor|perf|test|build|ci|chore|revert)(\([^)]+\))?!?: .+")
 
 
-
+def symbol_counts(symbols: DataFrame) -> DataFrame:
+    """kind, n, exported: how many symbols of each kind there are, and how many are exported."""
+    return symbols.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("exported").cast("long")).alias("exported"))

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """The modules whose queries are registered."""
-    from . import corpus, relational  # noqa: F401
+    from . import corpus, program, relational  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
