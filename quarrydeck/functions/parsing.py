@@ -15,9 +15,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarrydeck.session import ship_code
 
-#: Lines of a file that are parsed.
-MAX_LINES = 500
-
 SYMBOL = "struct<name:string,kind:string,signature:string,receiver:string,exported:boolean,line:int,end_line:int,doc:string>"
 PARSED = f"path string, language string, package string, parse_method string, symbols array<{SYMBOL}>, imports array<string>, call_sites array<struct<name:string,line:int>>"
 
@@ -134,6 +131,7 @@ LANGUAGES: dict[str, Language] = {
             ("function", rf"^function\s+&?(?P<name>{_ID})\s*(?P<sig>\([^)]*\))"),
             ("const", rf"^\s*(?:public\s+)?const\s+(?:\w+\s+)?(?P<name>{_ID})\s*="),
             ("property", r"^\s+(?:public|var)\s+(?:static\s+|readonly\s+)*(?:[?\w|\\]+\s+)?\$(?P<name>\w+)"),
+            ("case", rf"^\s*case\s+(?P<name>{_ID})\s*(?:=[^;:]*)?;"),
         ),
         imports=(r"^use\s+(?:function\s+|const\s+)?([\w\\]+)",),
         package=r"^namespace\s+([\w\\]+)",
@@ -162,6 +160,41 @@ def _exported(language: str, name: str, line: str, hidden: re.Pattern) -> bool:
     return not hidden.search(line)
 
 
+_OPENS = re.compile(r"^\s*(?:[a-z]+\s+)*(?:func|function|def|fn)\b")
+_GROUP = re.compile(r"^(const|var|type)\s*\($")
+_GROUPS = {"const": "constant", "var": "variable", "type": "type"}
+_PROMOTED = re.compile(r"\b(public|protected|private)\s+(?:readonly\s+)?(?:[?\w|\\]+\s+)?\$(\w+)")
+
+
+def _logical(ls: list[str], language: str) -> Iterator[tuple[int, str]]:
+    """number, line; the parameters of a function of Go or PHP over several lines count as its first line."""
+    number, held, depth = 0, [], 0
+    for i, line in enumerate(ls, 1):
+        if not held and not (language in ("go", "php") and _OPENS.match(line)):
+            yield i, line
+            continue
+        number = number if held else i
+        held.append(line.strip() if held else line)
+        depth += line.count("(") - line.count(")")
+        if depth <= 0:
+            yield number, re.sub(r",\s+\)", ")", re.sub(r"\(\s+", "(", " ".join(held))) if len(held) > 1 else line
+            held, depth = [], 0
+    if held:
+        yield number, " ".join(held)
+
+
+def _grouped(out: Parsed, kind: str, bare: str, number: int, doc: str) -> None:
+    """The names of one line of a group of declarations in Go."""
+    if not (m := re.match(rf"({_ID}(?:\s*,\s*{_ID})*)(.*)", bare)):
+        return
+    if kind == "type":
+        shape = re.match(r"(?:\[[^\]]*\])?\s+(struct|interface)\b", m[2])
+        kind = shape[1] if shape else kind
+    for name in re.split(r"\s*,\s*", m[1]):
+        if name != "_":
+            out.add(name, kind, number, "", "", name[:1].isupper(), doc)
+
+
 def parse(language: str, content: str) -> Parsed | None:
     """The declarations, imports and calls of a file; None for a language without a parser."""
     if language not in LANGUAGES:
@@ -171,7 +204,8 @@ def parse(language: str, content: str) -> Parsed | None:
     inside = quote = ""
     in_imports, depth = False, 0
     holder: list[tuple[str, int]] = []
-    for number, line in enumerate(content.split("\n")[:MAX_LINES], 1):
+    group, open_in_group = "", 0
+    for number, line in _logical(content.split("\n"), language):
         bare = line.strip()
         if inside:
             if inside in bare:
@@ -205,6 +239,17 @@ def parse(language: str, content: str) -> Parsed | None:
             elif m := re.search(r'"([^"]+)"', bare):
                 out.need(m[1])
             continue
+        if language == "go" and not group and (m := _GROUP.match(line)):
+            group, open_in_group, doc = _GROUPS[m[1]], 0, []
+            continue
+        if group:
+            if not open_in_group and bare.startswith(")"):
+                group = ""
+            elif not open_in_group:
+                _grouped(out, group, bare, number, " ".join(doc).strip())
+            open_in_group += sum(bare.count(c) for c in "({[") - sum(bare.count(c) for c in ")}]") if group else 0
+            doc = []
+            continue
         if package and not out.package and (m := package.search(line)):
             out.package = m[1]
             continue
@@ -226,7 +271,10 @@ def parse(language: str, content: str) -> Parsed | None:
             if kind in lang.holders:
                 holder.append((name, indent if language in ("python", "ruby") else depth))
             if kind != "impl" and not (kind == "method" and name in _NO_CALL):
-                out.add(name, kind, number, (groups.get("sig") or "").strip(), around if kind in ("method", "property", "const") else "", _exported(language, name, line, hidden), " ".join(doc).strip())
+                out.add(name, kind, number, (groups.get("sig") or "").strip(), around if kind in ("method", "property", "const", "case") else "", _exported(language, name, line, hidden), " ".join(doc).strip())
+                if language == "php" and name == "__construct":
+                    for m in _PROMOTED.finditer(line[m.end("name") :]):
+                        out.add(m[2], "property", number, "", around, m[1] == "public")
             break
         else:
             if language != "go" and not found:
@@ -253,14 +301,45 @@ def _spans(out: Parsed, content: str, language: str) -> None:
                         break
                     end = j
         else:
-            depth, end, seen = 0, k, False
+            depth, inner, head, end, seen = 0, 0, None, k, False
             for j in range(k, len(ls)):
+                if head is None:  # the line on which the parameters end
+                    inner += ls[j].count("(") - ls[j].count(")")
+                    if inner > 0:
+                        continue
+                    head = end = j
                 depth += ls[j].count("{") - ls[j].count("}")
                 seen = seen or "{" in ls[j]
-                if seen and depth <= 0 or not seen and j > k:
-                    end = j if seen else k
+                if seen and depth <= 0:
+                    end = j
+                    break
+                if not seen and j > head:
                     break
         s["end_line"] = end + 1
+        if language == "go" and s["kind"] in ("struct", "interface"):
+            s["signature"] = _go_shape(ls[k : end + 1], s["kind"])
+
+
+def _go_shape(body: list[str], kind: str) -> str:
+    """{Field type, ...} of a struct or {Method, ...} of an interface: the exported names of its outermost level."""
+    if len(body) == 1:
+        inside = body[0].partition("{")[2].rpartition("}")[0].split(";")
+    else:
+        inside, depth = [], 1
+        for line in body[1:-1]:
+            if depth == 1:
+                inside.append(line)
+            depth += line.count("{") - line.count("}")
+    out: list[str] = []
+    for line in inside:
+        bare = re.split(r"`|//", line, maxsplit=1)[0].strip()
+        if kind == "interface":
+            out += re.findall(r"^([A-Z]\w*)(?=\(|$)", bare)
+        elif m := re.match(rf"({_ID}(?:\s*,\s*{_ID})*)\s+(.+)$", bare):
+            out += [f"{name} {m[2].rstrip(' {')}" for name in re.split(r"\s*,\s*", m[1]) if name[:1].isupper()]
+        else:
+            out += re.findall(r"^([A-Z]\w*)$", bare)
+    return "{" + ", ".join(out) + "}"
 
 
 def parsed_files(files: DataFrame) -> DataFrame:

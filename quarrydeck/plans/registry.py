@@ -23,9 +23,14 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query that is registered already, for queries that build on it."""
+    return _SQL[name]
+
+
 def _load() -> None:
     """The modules whose queries are registered."""
-    from . import corpus, program, relational  # noqa: F401
+    from . import corpus, program, relational, reviews  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
