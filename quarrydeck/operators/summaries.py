@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrydeck.functions.classify import entry_boost, is_test_file
-from quarrydeck.functions.text import basename, depth
+from quarrydeck.functions.text import basename, depth, extension
 
 # What a group of changes is confident of before its scope and size.
 BASE_CONFIDENCE = {"test": 0.7, "docs": 0.7, "chore": 0.6, "feat": 0.5}
@@ -28,9 +28,9 @@ def spine(ranked: DataFrame, most: int = 5) -> DataFrame:
     return entry.union(rest).withColumn("pos", F.row_number().over(Window.orderBy("turn", F.desc("score"), "path"))).select("pos", "path")
 
 
-def group_confidence(kind: Column, scope: Column, files: Column) -> Column:
+def group_confidence(kind: Column, scope: Column, files: Column, table: dict[str, float] = BASE_CONFIDENCE) -> Column:
     base = F.lit(0.4)
-    for k, v in BASE_CONFIDENCE.items():
+    for k, v in table.items():
         base = F.when(kind == k, v).otherwise(base)
     return F.least(F.lit(0.95), F.greatest(F.lit(0.3), F.round(base + F.when(scope != "", 0.05).otherwise(0.0) + F.when(files == 1, 0.05).otherwise(0.0), 2)))
 
@@ -69,3 +69,37 @@ def is_conventional(message: Column) -> Column:
 def symbol_counts(symbols: DataFrame) -> DataFrame:
     """kind, n, exported: how many symbols of each kind there are, and how many are exported."""
     return symbols.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("exported").cast("long")).alias("exported"))
+
+
+# The family of a file by its ending.
+FAMILIES = {
+    "docs": (".md", ".rst", ".txt", ".adoc"),
+    "config": (".yaml", ".yml", ".json", ".toml", ".ini", ".cfg", ".conf", ".env", ".hcl"),
+    "script": (".sh", ".bash", ".zsh", ".ps1"),
+    "code": (".go", ".py", ".rs", ".ts", ".tsx", ".js", ".jsx", ".java", ".rb", ".php", ".c", ".h", ".cpp"),
+}
+# How sure the wording of a family is before its scope and size.
+FAMILY_CONFIDENCE = {"test": 0.7, "docs": 0.7, "config": 0.6, "script": 0.6, "code": 0.5}
+
+
+def family(path: Column) -> Column:
+    """test, docs, config, script, code or other."""
+    out = F.lit("other")
+    for name, endings in FAMILIES.items():
+        out = F.when(extension(path).isin(*endings), name).otherwise(out)
+    return F.when(is_test_file(path), "test").otherwise(out)
+
+
+def polished(members: DataFrame, group: str) -> DataFrame:
+    """group, files, family, scope, confidence: the family of more than half of a group's files, else other. members: group, path."""
+    counts = members.groupBy(group, family(F.col("path")).alias("family")).agg(F.count(F.lit(1)).alias("n"), F.min(top_folder(F.col("path"))).alias("lo"), F.max(top_folder(F.col("path"))).alias("hi"))
+    best = F.max(F.struct("n", "family"))
+    whole = counts.groupBy(group).agg(F.sum("n").alias("files"), best.alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    own = F.when(2 * F.col("b.n") > F.col("files"), F.col("b.family")).otherwise("other")
+    rows = whole.select(group, "files", own.alias("family"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("").alias("scope"))
+    return rows.withColumn("confidence", group_confidence(F.col("family"), F.col("scope"), F.col("files"), FAMILY_CONFIDENCE))
+
+
+def top_folder(path: Column) -> Column:
+    """The first folder of a path; none for files in the root."""
+    return F.when(F.contains(path, F.lit("/")), F.substring_index(path, "/", 1)).otherwise("")

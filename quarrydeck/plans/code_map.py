@@ -222,10 +222,23 @@ class CodeMap:
         by = audit.risks(self.ranked).groupBy("path").agg(F.sum("points").alias("points"), F.array_sort(F.collect_set("rule")).alias("rules"))
         return joins.ranked(by, [F.desc("points"), "path"], limit=limit)
 
+    def read_queue(self) -> DataFrame:
+        """What to read first (see operators.review.read_queue)."""
+        from quarrydeck.operators import audit, review
+
+        surface = self.surface().drop("pattern").unionByName(review.manifest_hits(self.files))
+        return review.read_queue(audit.risks(self.ranked), surface, self.effects(), self.ranked.select("path", "score"))
+
     def review_plan(self) -> DataFrame:
-        from quarrydeck.operators import audit
+        """The lanes of a review: files, reasons, caveats."""
+        from quarrydeck.operators import review
+
+        return review.review_lanes(self.read_queue())
+
+    def effect_hints(self) -> DataFrame:
+        from quarrydeck.operators import audit, review
 
-        return audit.lanes(audit.risks(self.ranked))
+        return review.effect_hints(self.calls, audit.lines(self._code()))
 
     def inventory(self, boundary: str) -> DataFrame:
         """what, path, detail of a boundary: files that import it, constructors in them, their effects, and tests beside them."""

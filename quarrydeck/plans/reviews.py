@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrydeck.functions import parsing
-from quarrydeck.operators import audit, review
+from quarrydeck.operators import audit, joins, review, summaries
+from quarrydeck.sources import config as settings
+from quarrydeck.sources import tags as tag_files
 from quarrydeck.sources.adapters import table
 
 from . import program
+from .code_map import CodeMap
 from .registry import query, sql_of
 
 
@@ -117,3 +120,119 @@ def go_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.replace(F.replace(F.lit(GO_FILE), F.lit("#"), k), F.lit("@"), F.col("p_name"))
     files = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), k, F.lit(".go")).alias("path"), F.lit("go").alias("language"), F.concat(F.when(F.col("p_size") > 40, F.repeat(F.lit("\n"), 600)).otherwise(""), body).alias("content"))
     return parsing.symbols(parsing.parsed_files(files)).select("path", "name", "kind", "signature", "exported", "line", "end_line", "doc")
+
+
+@query(
+    "e85_tags",
+    """
+with p as (select 'f' || p_size || '.ts' as path, p_partkey::integer as k, 'Box' || p_partkey as name from part),
+m as (select 'f' || p_size || '.ts' as path, 'Box' || p_partkey as name, list(l_linenumber || 'x' || l_orderkey order by l_linenumber, l_linenumber || 'x' || l_orderkey) as parts from (select distinct l_partkey, l_linenumber, l_orderkey from lineitem) join part on l_partkey = p_partkey group by 1, 2)
+select path, name, case when k % 3 = 0 then 'function' else 'class' end as kind, case when k % 3 = 0 then '(a)' when parts is null then '' else '{' || array_to_string(parts, ', ') || '}' end as signature, '' as receiver, k as line from p left join m using (path, name)""",
+)
+def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of a class or function for each part, and of a member of it for each of its lines of orders."""
+    own = F.col("p_partkey")
+    path, name = F.concat(F.lit("f"), F.col("p_size").cast("string"), F.lit(".ts")), F.concat(F.lit("Box"), own.cast("string"))
+    part = table(spark, sf_dir, "part")
+    one = part.select(F.to_json(F.struct(F.lit("tag").alias("_type"), name.alias("name"), path.alias("path"), F.when(own % 3 == 0, "function").otherwise("class").alias("kind"), F.when(own % 3 == 0, "(a)").alias("signature"), own.alias("line"))).alias("value"))
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_orderkey").distinct().join(part.select("p_partkey", "p_size"), F.col("l_partkey") == own)
+    member = rows.select(F.to_json(F.struct(F.lit("tag").alias("_type"), F.concat(F.col("l_linenumber").cast("string"), F.lit("x"), F.col("l_orderkey").cast("string")).alias("name"), path.alias("path"), F.lit("field").alias("kind"), name.alias("scope"), F.lit("class").alias("scopeKind"), F.col("l_linenumber").alias("line"))).alias("value"))
+    return tag_files.tag_symbols(one.union(member))
+
+
+_CONFIG = 'method_blocklist: ["get*", "/^[A-Z]/"]\nexclude_paths: ["vendor/**", "dist/*"]\ninclude_paths: ["*.go", "**/*.ts", "**/*.py", "**/*.go"]\nfile_overrides: {"cmd/**": full, "src/tests/*.py": omit}\n'
+
+
+@query(
+    "e86_config",
+    program._PATHS
+    + """ select doc_id, path, regexp_matches(base, '^get|^[A-Z]') as blocked, case when starts_with(path, 'cmd/') then 2 when dir = 'src/tests' and ext = '.py' then -1 end as forced
+from t where not starts_with(path, 'vendor/') and dir <> 'dist' and (ext in ('.ts', '.py') and contains(path, '/') or ext = '.go')""",
+)
+def config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = settings.Config.parse(_CONFIG)
+    rows = c.files(program._paths(spark, sf_dir))
+    forced = F.coalesce(*[F.when(F.col("path").rlike(r["pattern"]), r["forced"]) for r in c.overrides(spark).collect()])
+    return rows.select("doc_id", "path", c.blocked(F.regexp_extract("path", "[^/]*$", 0)).alias("blocked"), forced.alias("forced"))
+
+
+@query(
+    "e87_families",
+    program._PATHS
+    + """, f as (select doc_id % 40 as g, case when test then 'test' when ext in ('.md') then 'docs' when ext in ('.yaml', '.json') then 'config' when ext in ('.go', '.ts', '.py', '.rs', '.js', '.java', '.rb', '.php') then 'code' else 'other' end as family, case when contains(path, '/') then string_split(path, '/')[1] else '' end as top from t),
+c as (select g, family, count(*) as n from f group by all), w as (select g, count(*) as files, min(top) as lo, max(top) as hi from f group by g),
+r as (select g, files, coalesce((select family from c where c.g = w.g and 2 * n > files), 'other') as family, case when lo = hi then lo else '' end as scope from w)
+select g, files, family, scope, round(least(0.95, greatest(0.3, case family when 'test' then 0.7 when 'docs' then 0.7 when 'config' then 0.6 when 'script' then 0.6 when 'code' then 0.5 else 0.4 end + case when scope <> '' then 0.05 else 0 end + case when files = 1 then 0.05 else 0 end)), 2)::double as confidence from r""",
+)
+def families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.polished(program._paths(spark, sf_dir).withColumn("g", F.col("doc_id") % 40), "g")
+
+
+@query(
+    "e88_reference_edges",
+    """
+with s as (select 'f' || p_size as path, p_partkey as line, 'n' || p_partkey as name from part), r as (select 'n' || l_partkey as name, 'f' || (l_suppkey % 50) as path, case when l_linenumber = 1 then l_partkey else l_linenumber end as line from lineitem)
+select distinct s.path as callee_path, '' as callee_receiver, s.name as callee_name, r.path as caller_path, r.line as caller_line from s join r using (name) where s.path <> r.path or s.line <> r.line""",
+)
+def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda head, c: F.concat(F.lit(head), c.cast("string"))
+    s = table(spark, sf_dir, "part").select(text("f", F.col("p_size")).alias("path"), text("n", F.col("p_partkey")).alias("name"), F.lit("").alias("receiver"), F.col("p_partkey").alias("line"))
+    r = table(spark, sf_dir, "lineitem").select(text("n", F.col("l_partkey")).alias("name"), text("f", F.col("l_suppkey") % 50).alias("path"), F.when(F.col("l_linenumber") == 1, F.col("l_partkey")).otherwise(F.col("l_linenumber").cast("long")).alias("line"))
+    return tag_files.reference_edges(s, r)
+
+
+_MAP = """
+with p as (select p_partkey as k, p_partkey // 4 as d, p_partkey % 4 as r from part),
+f as (select k, d, r, 'd' || d || '/f' || case when r = 3 then (k - 3) || '_test' else k::varchar end || '.go' as path from p)"""
+
+
+def _map(spark: SparkSession, sf_dir: str) -> CodeMap:
+    """A program of Go: a file for each part, four in a folder (the last one tests the first), the first importing the next folder but from every third; odd files call what the file before declares."""
+    k = F.col("p_partkey")
+    n, d, r, text = F.floor(k / 4), F.concat(F.lit("d"), F.floor(k / 4).cast("string")), k % 4, lambda c: c.cast("string")
+    path = F.concat(d, F.lit("/f"), F.when(r == 3, F.concat(text(k - 3), F.lit("_test"))).otherwise(text(k)), F.lit(".go"))
+    imported = F.when((r == 0) & (n % 3 != 0), F.concat(F.lit('import "example.com/app/d'), text(n + 1), F.lit('"\n\n'))).otherwise("")
+    call = F.when(k % 2 == 1, F.concat(F.lit("\tRun"), text(k - 1), F.lit("()\n"))).otherwise("")
+    content = F.concat(F.lit("package "), d, F.lit("\n\n"), imported, F.lit("func Run"), text(k), F.lit("() error {\n"), call, F.lit("}\n"))
+    files = table(spark, sf_dir, "part").select(path.alias("path"), F.lit("go").alias("language"), content.alias("content")).withColumn("sha256", F.sha2("content", 256))
+    return CodeMap.build(files, "example.com/app")
+
+
+@query("e90_map_edges", _MAP + " select a.path as src, b.path as dst from f a join f b on b.d = a.d + 1 where a.r = 0 and a.d % 3 <> 0")
+def map_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _map(spark, sf_dir).edges
+
+
+@query(
+    "e91_orphans",
+    _MAP + " select path, 'Run' || k as name, 'function' as kind, case when r = 0 and d % 3 <> 0 then 5 else 3 end::integer as line from f where r <> 3 and not (k % 2 = 0 and exists (select 1 from f g where g.k = f.k + 1))",
+)
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _map(spark, sf_dir).orphans()
+
+
+@query(
+    "e92_impact",
+    _MAP
+    + """, t as (select * from f where path = 'd2/f8.go'), i as (select path, d from f where r = 0 and d = 1)
+select t.path, (select array_to_string(list(path order by path), ',') from i) as importers, (select array_to_string(list(path order by path), ',') from f where path = 'd2/f8_test.go') as tests, 'd1,d2' as packages from t""",
+)
+def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = _map(spark, sf_dir).impact("d2/f8.go")
+    return row.select("path", *[F.array_join(c, ",").alias(c) for c in ("importers", "tests", "packages")])
+
+
+@query("e93_find", _MAP + " select row_number() over (order by case when k = 12 then 100 else 50 end desc, path) as pos, path, 'Run' || k as name, case when k = 12 then 100 else 50 end::integer as match from f where starts_with('Run' || k, 'Run12') and r <> 3 order by 1 limit 20")
+def find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ladder of a name over the map's symbols but tests."""
+    m = _map(spark, sf_dir)
+    found = joins.find_ladder(m.symbols.where(~F.contains("path", F.lit("_test"))), "Run12")
+    return joins.ranked(found, [F.desc("match"), "path"], out="pos", limit=20).select("pos", "path", "name", "match")
+
+
+@query(
+    "e94_context",
+    _MAP + " select path, 'Run9' as name, unnest([3, 4, 5])::integer as line, unnest(['func Run9() error {', chr(9) || 'Run8()', '}']) as text from f where k = 9",
+)
+def context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _map(spark, sf_dir).context("Run9")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarrydeck.functions.classify import MAX_FILE_SIZE, in_skip_dir, is_build_artifact, language
 
@@ -43,3 +43,8 @@ def scan_files(spark: SparkSession, root: str, include: list[str] = (), exclude:
         kept = kept.where(F.col("path").rlike("|".join(glob_regex(g) for g in include)))
     kept = kept.withColumn("language", language(F.col("path"))).where((F.col("language") != "") & ~is_build_artifact(F.col("path")))
     return kept.select("path", "language", "size", "mtime", F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("content"))
+
+
+def bounded(content: Column, most: int = 64 << 10, marker: str = "\n... cut off") -> Column:
+    """The first ``most`` characters of a text that is longer, with a marker after them; for display only."""
+    return F.when(F.length(content) > most, F.concat(F.substring(content, 1, most), F.lit(marker))).otherwise(content)

@@ -43,6 +43,21 @@ def test_parsing():
     assert parsing.parse("zig", "x") is None and parsing.parse("c", "").symbols == []
 
 
+def test_go_whole_declarations():
+    text = "package p\n" + "\n" * 700 + "// Run runs.\nfunc Run(\n\ta int,\n\tf func(struct{}) error,\n) (int, error) {\n\treturn 0, nil\n}\n\nvar (\n\tOne, two = 1, f(\n\t\tThree,\n\t)\n\t_ = x\n)\ntype (\n\tBox struct {\n\t\tWidth, Height int `json:\"w\"`\n\t\tInner struct {\n\t\t\tDeep int\n\t\t}\n\t\tEmbedded\n\t}\n\tReader interface {\n\t\tRead(p []byte) error\n\t\tclose()\n\t}\n)\ntype P struct{ X, Y int }\n"
+    got = [(s["name"], s["kind"], s["signature"], s["line"] - 701, s["end_line"] - 701) for s in parsing.parse("go", text).symbols]
+    assert got == [
+        ("Run", "function", "(a int, f func(struct{}) error) (int, error)", 2, 7),
+        ("One", "variable", "", 10, 12), ("two", "variable", "", 10, 12),
+        ("Box", "struct", "{Width int, Height int, Inner struct, Embedded}", 16, 22), ("Reader", "interface", "{Read}", 23, 26), ("P", "struct", "{X int, Y int}", 28, 28),
+    ]
+
+
+def test_php_promoted_and_cases():
+    p = parsing.parse("php", "<?php\nenum Suit: string {\n  case Hearts = 'h';\n  case Spades;\n}\nclass A {\n  public function __construct(\n    public readonly string $name,\n    private int $n,\n  ) {\n  }\n}\n")
+    assert [(s["name"], s["kind"], s["receiver"], s["exported"], s["line"]) for s in p.symbols] == [("Suit", "enum", "", True, 2), ("Hearts", "case", "Suit", True, 3), ("Spades", "case", "Suit", True, 4), ("A", "class", "", True, 6), ("__construct", "method", "A", True, 7), ("name", "property", "A", True, 7), ("n", "property", "A", False, 7)]
+
+
 def test_edges_and_scores(spark, code):
     edges = {tuple(r) for r in code.edges.collect()}
     assert {("main.go", "store/store.go"), ("web/app.ts", "web/lib/view.ts"), ("tool/run.py", "tool/help.py")} <= edges
@@ -106,7 +121,7 @@ def test_callers_evidence_and_lines(spark, code):
 def test_serving(code):
     asks = ['{"id":1,"method":"map.find","params":{"name":"OpenStore"}}', '{"id":2,"method":"nope"}', '{"id":3,"method":"map.impact"}', "broken"]
     out = [json.loads(x) for x in serve.answer(code, asks)]
-    assert out[0]["result"][0]["name"] == "OpenStore" and [x["error"]["code"] for x in out[1:]] == [-32601, -32602, -32700]
+    assert out[0]["result"]["total"] == 1 and out[0]["result"]["rows"][0]["name"] == "OpenStore" and [x["error"]["code"] for x in out[1:]] == [-32601, -32602, -32700]
 
 
 def test_normal_path(spark):
