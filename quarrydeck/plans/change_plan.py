@@ -60,3 +60,26 @@ def plan(changed: DataFrame, depends: DataFrame, deltas: DataFrame | None = None
     rows = rows.fillna(0, ["added", "removed", "modified"]).withColumn("breaking", F.coalesce("breaking", F.lit(False)))
     said = summaries.subject(F.col("type"), F.col("scope"), F.col("added"), F.col("removed"), F.col("modified"))
     return rows.select(F.element_at("paths", 1).alias("group"), "paths", "type", "scope", "files", "confidence", "breaking", said.alias("subject")).orderBy("group")
+
+
+#: Confidence from which a group's subject stands as it is, and from which its plain wording does.
+SURE, PLAIN_SURE = 0.75, 0.6
+# Findings to review and unsure groups beyond which a plan is given up.
+MOST_FINDINGS, MOST_UNSURE = 5, 3
+
+
+def prepared(groups: DataFrame, findings: DataFrame, key: str = "plan", large: int | None = None) -> DataFrame:
+    """key, groups, unsure, findings, status of each plan: abort, needs_judgment or ready.
+
+    groups: key, files, confidence, polished (that of the plain wording, see summaries.polished);
+    findings: key, action. A group is unsure if neither wording is sure enough, or if it has more
+    than ``large`` files. Plans without groups have no row.
+    """
+    unsure = (F.col("confidence") < SURE) & (F.col("polished") < PLAIN_SURE)
+    if large is not None:
+        unsure = unsure | (F.col("files") > large)
+    by = groups.groupBy(key).agg(F.count(F.lit(1)).alias("groups"), F.sum(unsure.cast("long")).alias("unsure"))
+    found = findings.where("action = 'review'").groupBy(key).agg(F.count(F.lit(1)).alias("findings"))
+    rows = by.join(found, key, "left").fillna(0, ["findings"])
+    n, m = F.col("findings"), F.col("unsure")
+    return rows.withColumn("status", F.when((n > MOST_FINDINGS) | (m > MOST_UNSURE), "abort").when((n > 0) | (m > 0), "needs_judgment").otherwise("ready"))

@@ -10,7 +10,7 @@ from quarrydeck.sources import config as settings
 from quarrydeck.sources import tags as tag_files
 from quarrydeck.sources.adapters import table
 
-from . import program
+from . import change_plan, program
 from .code_map import CodeMap
 from .registry import query, sql_of
 
@@ -236,3 +236,17 @@ def find(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _map(spark, sf_dir).context("Run9")
+
+
+@query(
+    "e95_prepared",
+    """
+with g as (select o_custkey % 97 as plan, count(*) as groups, count(*) filter (o_totalprice < 40000 and o_orderkey % 50 = 1 or o_orderkey % 211 = 0) as unsure from orders group by 1),
+f as (select c_custkey % 97 as plan, count(*) as n from customer where c_custkey % 41 = 0 group by 1)
+select plan, groups, unsure, coalesce(n, 0) as findings, case when coalesce(n, 0) > 5 or unsure > 3 then 'abort' when coalesce(n, 0) > 0 or unsure > 0 then 'needs_judgment' else 'ready' end as status from g left join f using (plan)""",
+)
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    groups = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 97).alias("plan"), F.when(k % 211 == 0, 60).otherwise(3).alias("files"), F.when(F.col("o_totalprice") < 40000, 0.5).otherwise(0.8).alias("confidence"), F.when(k % 50 == 1, 0.5).otherwise(0.6).alias("polished"))
+    findings = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 97).alias("plan"), F.when(F.col("c_custkey") % 41 == 0, "review").otherwise("safe").alias("action"))
+    return change_plan.prepared(groups, findings, large=50)

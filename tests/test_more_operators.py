@@ -1,5 +1,7 @@
 """Listings, callers and summaries on small hand-made tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +98,54 @@ def test_overrides_and_coverage(spark):
     assert rows(apply_overrides(levels, rules)) == [("a/x.go", 1, 2), ("b/y.go", 2, 1)]
     files = spark.createDataFrame([("a.go", "go", "package a\n"), ("b.zig", "zig", "x")], "path string, language string, content string")
     assert rows(parsing.coverage(files, parsing.parsed_files(files))) == [("go", 1, 1, 0), ("zig", 1, 0, 1)]
+
+
+def test_settings(spark):
+    from quarrydeck.sources.config import Config
+
+    assert Config.parse(None) == Config() == Config.parse("{}")
+    c = Config.parse('{"method_blocklist": ["get*", "/^X/"], "exclude_paths": ["v/**"], "include_paths": ["**/*.go"], "file_overrides": {"a/**": "full", "b/*.go": "omit"}}')
+    names = spark.createDataFrame([("getX",), ("forget",), ("Xy",)], "n string")
+    assert [r[0] for r in names.select(c.blocked(F.col("n"))).collect()] == [True, False, True]
+    assert rows(c.files(spark.createDataFrame([("v/a.go",), ("a/b.go",), ("a/b.py",)], "path string"))) == [("a/b.go",)]
+    assert sorted(r["forced"] for r in c.overrides(spark).collect()) == [-1, 2]
+    for bad in ('{"file_overrides": {"a": "most"}}', '{"method_blocklist": ["/(/"]}'):
+        with pytest.raises((ValueError, re.error)):
+            Config.parse(bad)
+
+
+def test_tags_and_caches(spark, tmp_path):
+    from quarrydeck.sources import tags
+    from quarrydeck.sources.files import bounded
+
+    lines = ["no json", '{"_type":"ptag","name":"x"}', '{"_type":"tag","name":"A","path":"a.ts","kind":"class","line":1}', '{"_type":"tag","name":"y","path":"a.ts","kind":"field","scope":"A","line":3}', '{"_type":"tag","name":"x","path":"a.ts","kind":"field","scope":"A","line":2}', '{"_type":"tag","name":"go","path":"a.ts","kind":"method","scope":"A","signature":"(n)","line":4}', '{"_type":"tag","path":"a.ts"}']
+    assert rows(tags.tag_symbols(spark.createDataFrame([(x,) for x in lines], "value string"))) == [("a.ts", "A", "class", "{x, y}", "", 1), ("a.ts", "go", "method", "(n)", "A", 4)]
+    files, made = spark.createDataFrame([("a", "1")], "path string, sha256 string"), []
+    make = lambda: made.append(1) or spark.range(3)
+    assert tags.cached(make, files, str(tmp_path)).count() == tags.cached(make, files, str(tmp_path)).count() == 3 and len(made) == 1
+    tags.cached(make, files.withColumn("sha256", F.lit("2")), str(tmp_path))
+    assert len(made) == 2
+    assert [r[0] for r in spark.createDataFrame([("abc",), ("abcd",), (None,)], "t string").select(bounded(F.col("t"), 3, "~")).collect()] == ["abc", "abc~", None]
+
+
+def test_families_and_plans(spark):
+    from quarrydeck.plans.change_plan import prepared
+
+    m = spark.createDataFrame([(1, "a/x.go"), (1, "a/y.go"), (1, "a/z.md"), (2, "r.md"), (3, "a.go"), (3, "b.md")], "g int, path string")
+    assert rows(summaries.polished(m, "g")) == [(1, 3, "code", "a", 0.55), (2, 1, "docs", "", 0.75), (3, 2, "other", "", 0.4)]
+    g = spark.createDataFrame([(1, 2, 0.5, 0.5), (1, 2, 0.9, 0.1), (2, 99, 0.9, 0.9), (3, 1, 0.5, 0.6)], "plan int, files int, confidence double, polished double")
+    f = spark.createDataFrame([(3, "safe")] + [(1, "review")] * 6, "plan int, action string")
+    assert rows(prepared(g, f).select("plan", "unsure", "status")) == [(1, 1, "abort"), (2, 0, "ready"), (3, 0, "ready")]
+    assert {r["plan"]: r["status"] for r in prepared(g, f.limit(0), large=50).collect()} == {1: "needs_judgment", 2: "needs_judgment", 3: "ready"}
+
+
+def test_read_queue_of_nothing_and_of_one(spark):
+    from quarrydeck.operators import review
+
+    risks = spark.createDataFrame([("a_test.go", "untested", "test-risk", 10), ("b.go", "untested", "test-risk", 10)], "path string, rule string, lane string, points int")
+    hits = spark.createDataFrame([("b.go", 1, "http", "api-contracts", 8, 4)], "path string, line int, kind string, lane string, weight int, pattern int")
+    ranked = spark.createDataFrame([("b.go", 40)], "path string, score long")
+    got = {r["group"]: r for r in review.read_queue(risks, hits.limit(0), hits, ranked).collect()}
+    assert sorted(got) == ["network-and-api-effects", "ranked-risk-packets", "test-risk"] and got["test-risk"]["files"] == ["b.go"] and got["test-risk"]["caveat"]
+    assert [(r["path"], r["start"], r["end"]) for r in got["network-and-api-effects"]["ranges"]] == [("b.go", 1, 25)]
+    assert review.read_queue(risks.limit(0), hits.limit(0), hits.limit(0), ranked.limit(0)).count() == 0
