@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import topk_search
+from . import decontamination, filter_audit, topk_search
 
 NEAR_DEDUP = r"""
 with recursive d as (
@@ -56,4 +56,4 @@ from t left join j on j.row = t.row
 """
 
 
-SQL = {"op3_topk": topk_search.ORACLE, "op4_near_dedup": NEAR_DEDUP, "op7_secrets": _secrets()}
+SQL = {"op11_filter_audit": filter_audit.ORACLE, "op13_decontamination": decontamination.ORACLE, "op3_topk": topk_search.ORACLE, "op4_near_dedup": NEAR_DEDUP, "op7_secrets": _secrets()}

@@ -21,6 +21,9 @@ _MODULES = {
     "op8_packing": "packing",
     "op9_token_counts": "token_counts",
     "op10_html_text": "html_text",
+    "op11_filter_audit": "filter_audit",
+    "op12_whitening": "whitening",
+    "op13_decontamination": "decontamination",
 }
 
 ORACLE_SQL: dict[str, str] = oracles.SQL
