@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarrydeck.functions import classify, text as T
-from quarrydeck.operators import audit, budget, callers, joins, summaries
+from quarrydeck.operators import audit, budget, callers, joins, masks, summaries
 from quarrydeck.sources import history
 from quarrydeck.sources.adapters import table
 
-from .registry import query
+from .registry import query, sql_of
 
 FOLDERS = ["cmd/app", "internal/store", "pkg/api/v1", "vendor/lib", "node_modules/y", "src/tests", ".", "dist/x"]
 BASES = ["main", "store", "user_test", "index", "types", "Handler", "a.min", "test_util", "README", "go", "FooTest", "app-0123abcd9-x", "x.spec"]
@@ -439,3 +439,51 @@ def adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e79_uniform", "select o_custkey, count(*) as n, case when count(distinct o_orderstatus) = 1 then min(o_orderstatus) end as only from orders group by 1")
 def uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.uniform(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus", "only")
+
+
+# A supplier's line items are the lines of a file; some open or close comments and raw strings.
+_WRAPS = ["@", "/* @", "@ */", "// @", "@ // `x", "q := `@", "@`", 'w("/*", @)', "@ /* one */ @", "u(`@`)", "@", "@"]
+_FILES = f"""
+with i as (select l_suppkey as s, l_orderkey * 10 + l_linenumber as pos, l_partkey, replace({_list(_WRAPS)}[1 + l_partkey % {len(_WRAPS)}], '@', replace({_list(LINES)}[1 + (l_orderkey + l_linenumber) % {len(LINES)}], '#', l_linenumber::varchar)) as text from lineitem),
+f as (select 'g_' || s || '.go' as path, string_agg(text, chr(10) order by pos, l_partkey, text) as content from i group by s),
+k as (select path, string_split_regex(content, '{{tok}}') as p, regexp_extract_all(content, '{{tok}}') as t from f),
+m as (select path, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || case when t[i] is null then '' when regexp_matches(t[i], '^["'']') or (starts_with(t[i], '`') and not contains(t[i], chr(10)) and regexp_matches(t[i], '^`[^`]*`$')) then t[i] else repeat(chr(10), length(t[i]) - length(replace(t[i], chr(10), ''))) end), '') as content from k),
+n as (select path, string_split(content, chr(10)) as ls from m),
+l as (select path, line::integer as line, regexp_replace(ls[line], '^[ \\t\\r\\f]+|[ \\t\\r\\f]+$', '', 'g') as text from (select path, ls, unnest(range(1, len(ls) + 1)) as line from n))""".replace(
+    "{tok}", r"""//[^\n]*|/\*(?:[^*]|\*+[^*/])*(?:\*+/|\*?$)|`[^`]*(?:`|$)|"(?:\\.|[^"\\\n])*(?:"|$)|''(?:\\.|[^''\\\n])*(?:''|$)"""
+)
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: every supplier's line items as a file."""
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
+    line = F.replace(_pick(LINES, F.col("l_orderkey") + F.col("l_linenumber")), F.lit("#"), F.col("l_linenumber").cast("string"))
+    text = F.replace(_pick(_WRAPS, F.col("l_partkey")), F.lit("@"), line)
+    pos = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos")
+    rows = li.select("l_suppkey", F.struct(pos, "l_partkey", text.alias("text")).alias("x"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), "\n")
+    return rows.groupBy("l_suppkey").agg(joined.alias("content")).select(F.concat(F.lit("g_"), F.col("l_suppkey").cast("string"), F.lit(".go")).alias("path"), "content")
+
+
+def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masks.masked_lines(_files(spark, sf_dir))
+
+
+@query("e99_masked_lines", _FILES + " select path, line, text from l")
+def masked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _masked(spark, sf_dir)
+
+
+@query("e99b_masked_effects", _FILES + _scan_sql(audit.EFFECTS).removeprefix(_PROGRAM))
+def masked_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.scan(_masked(spark, sf_dir), audit.EFFECTS).drop("pattern")
+
+
+@query("e99c_masked_surface", _FILES + _scan_sql(audit.SURFACE).removeprefix(_PROGRAM))
+def masked_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.scan(_masked(spark, sf_dir), audit.SURFACE).drop("pattern")
+
+
+@query("e99d_masked_routes", _FILES + sql_of("e56_routes").removeprefix(_PROGRAM))
+def masked_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.routes(_masked(spark, sf_dir))
