@@ -23,15 +23,24 @@ PARSED = f"path string, language string, package string, parse_method string, sy
 class Parsed:
     package: str = ""
     symbols: list[dict] = field(default_factory=list)
-    imports: list[str] = field(default_factory=list)
-    calls: list[tuple[str, int]] = field(default_factory=list)
+    #: Ordered sets of names that are imported, and of calls with their lines.
+    needed: dict[str, None] = field(default_factory=dict)
+    called: dict[tuple[str, int], None] = field(default_factory=dict)
+
+    @property
+    def imports(self) -> list[str]:
+        return list(self.needed)
+
+    @property
+    def calls(self) -> list[tuple[str, int]]:
+        return list(self.called)
 
     def add(self, name: str, kind: str, line: int, signature: str = "", receiver: str = "", exported: bool = True, doc: str = "") -> None:
         self.symbols.append({"name": name, "kind": kind, "signature": signature, "receiver": receiver, "exported": exported, "line": line, "end_line": line, "doc": doc})
 
     def need(self, name: str) -> None:
-        if name and name not in self.imports:
-            self.imports.append(name)
+        if name:
+            self.needed.setdefault(name)
 
 
 @dataclass(frozen=True)
@@ -166,21 +175,54 @@ _GROUPS = {"const": "constant", "var": "variable", "type": "type"}
 _PROMOTED = re.compile(r"\b(public|protected|private)\s+(?:readonly\s+)?(?:[?\w|\\]+\s+)?\$(\w+)")
 
 
-def _logical(ls: list[str], language: str) -> Iterator[tuple[int, str]]:
-    """number, line; the parameters of a function of Go or PHP over several lines count as its first line."""
-    number, held, depth = 0, [], 0
-    for i, line in enumerate(ls, 1):
-        if not held and not (language in ("go", "php") and _OPENS.match(line)):
-            yield i, line
+_QUOTES = r"""|"(?:\\.|[^"\\\n])*+"?|'(?:\\.|[^'\\\n])*+'?"""
+_SLASHES = r"//[^\n]*|/\*(?s:.*?)(?:\*/|\Z)"
+_TICKS = r"|`(?:\\.|[^`\\])*+(?:`|\Z)"
+#: Comments and strings by language; those of _JS and Java are what other languages have as well.
+_HIDES = {
+    "go": _SLASHES + r"|`[^`]*(?:`|\Z)" + _QUOTES,
+    "rust": _SLASHES + r"""|"(?:\\.|[^"\\])*+"?|'(?:\\.|[^'\\\n])'""",
+    "python": r"""#[^\n]*|\"{3}(?s:.*?)(?:\"{3}|\Z)|'{3}(?s:.*?)(?:'{3}|\Z)""" + _QUOTES,
+    "ruby": "#[^\n]*" + _QUOTES,
+    "php": r"\#(?!\[)[^\n]*|" + _SLASHES + _QUOTES,
+    "java": _SLASHES + _QUOTES,
+    "": _SLASHES + _TICKS + _QUOTES,
+}
+_HIDES = {k: re.compile(p) for k, p in _HIDES.items()}
+_INNER = re.compile(r"[^\n]")
+
+
+def code_lines(content: str, language: str, strings: bool = False) -> list[str]:
+    """The lines of a file with spaces in place of comments and, unless ``strings`` stay, of what is between quotes; every character keeps its place."""
+
+    def hide(m: re.Match) -> str:
+        s = m[0]
+        if s[0] not in "\"'`":
+            return _INNER.sub(" ", s)
+        if strings:
+            return s
+        return s[0] + _INNER.sub(" ", s[1:-1]) + s[-1] if len(s) > 1 and s[-1] == s[0] else s[0] + _INNER.sub(" ", s[1:])
+
+    return _HIDES.get(language, _HIDES[""]).sub(hide, content).split("\n")
+
+
+def _logical(ls: list[str], plain: list[str], codes: list[str], language: str) -> Iterator[tuple[int, str, str]]:
+    """number, line, code; the parameters of a function of Go or PHP over several lines count as its first line."""
+    number, held, bare, depth = 0, [], [], 0
+    joined = lambda xs: re.sub(r",\s+\)", ")", re.sub(r"\(\s+", "(", " ".join(xs)))
+    for i, (line, told, code) in enumerate(zip(ls, plain, codes, strict=True), 1):
+        if not held and not (language in ("go", "php") and _OPENS.match(code)):
+            yield i, line, code
             continue
         number = number if held else i
-        held.append(line.strip() if held else line)
-        depth += line.count("(") - line.count(")")
+        held.append(told.strip() if held else told)
+        bare.append(code.strip() if bare else code)
+        depth += code.count("(") - code.count(")")
         if depth <= 0:
-            yield number, re.sub(r",\s+\)", ")", re.sub(r"\(\s+", "(", " ".join(held))) if len(held) > 1 else line
-            held, depth = [], 0
+            yield (number, joined(held), joined(bare)) if len(held) > 1 else (number, line, code)
+            held, bare, depth = [], [], 0
     if held:
-        yield number, " ".join(held)
+        yield number, " ".join(held), " ".join(bare)
 
 
 def _grouped(out: Parsed, kind: str, bare: str, number: int, doc: str) -> None:
@@ -205,7 +247,8 @@ def parse(language: str, content: str) -> Parsed | None:
     in_imports, depth = False, 0
     holder: list[tuple[str, int]] = []
     group, open_in_group = "", 0
-    for number, line in _logical(content.split("\n"), language):
+    codes = code_lines(content, language)
+    for number, line, code in _logical(content.split("\n"), code_lines(content, language, strings=True), codes, language):
         bare = line.strip()
         if inside:
             if inside in bare:
@@ -223,11 +266,14 @@ def parse(language: str, content: str) -> Parsed | None:
             rest = bare[len(lang.block_comment[0]) :]
             if lang.block_comment[1] not in rest:
                 inside, doc = lang.block_comment[1], [rest.lstrip("* ")] if rest.strip("* ") else []
-            continue
+                continue
+            if not code.strip():
+                continue
+            line = bare = code.strip()  # what follows the comment
         if bare.startswith(lang.line_comment):
             doc.append(bare[len(lang.line_comment) :].strip())
             continue
-        if not bare:
+        if not bare or (not in_imports and not code.strip(" \t\r'\"`")):
             doc = []
             continue
         if language == "go" and re.match(r"import\s*\(", bare):
@@ -239,7 +285,7 @@ def parse(language: str, content: str) -> Parsed | None:
             elif m := re.search(r'"([^"]+)"', bare):
                 out.need(m[1])
             continue
-        if language == "go" and not group and (m := _GROUP.match(line)):
+        if language == "go" and not group and (m := _GROUP.match(code.rstrip())):
             group, open_in_group, doc = _GROUPS[m[1]], 0, []
             continue
         if group:
@@ -247,7 +293,7 @@ def parse(language: str, content: str) -> Parsed | None:
                 group = ""
             elif not open_in_group:
                 _grouped(out, group, bare, number, " ".join(doc).strip())
-            open_in_group += sum(bare.count(c) for c in "({[") - sum(bare.count(c) for c in ")}]") if group else 0
+            open_in_group += sum(code.count(c) for c in "({[") - sum(code.count(c) for c in ")}]") if group else 0
             doc = []
             continue
         if package and not out.package and (m := package.search(line)):
@@ -278,18 +324,17 @@ def parse(language: str, content: str) -> Parsed | None:
             break
         else:
             if language != "go" and not found:
-                for m in _CALL.finditer(line):
-                    if m[1] not in _NO_CALL and (m[1], number) not in out.calls:
-                        out.calls.append((m[1], number))
-        depth += line.count("{") - line.count("}")
+                for m in _CALL.finditer(code):
+                    if m[1] not in _NO_CALL:
+                        out.called.setdefault((m[1], number))
+        depth += code.count("{") - code.count("}")
         doc = []
-    _spans(out, content, language)
+    _spans(out, content.split("\n"), codes, language)
     return out
 
 
-def _spans(out: Parsed, content: str, language: str) -> None:
+def _spans(out: Parsed, ls: list[str], codes: list[str], language: str) -> None:
     """The last line of each declaration: where its braces close, or where the indent falls back."""
-    ls = content.split("\n")
     for s in out.symbols:
         k = s["line"] - 1
         if language == "python":
@@ -304,12 +349,12 @@ def _spans(out: Parsed, content: str, language: str) -> None:
             depth, inner, head, end, seen = 0, 0, None, k, False
             for j in range(k, len(ls)):
                 if head is None:  # the line on which the parameters end
-                    inner += ls[j].count("(") - ls[j].count(")")
+                    inner += codes[j].count("(") - codes[j].count(")")
                     if inner > 0:
                         continue
                     head = end = j
-                depth += ls[j].count("{") - ls[j].count("}")
-                seen = seen or "{" in ls[j]
+                depth += codes[j].count("{") - codes[j].count("}")
+                seen = seen or "{" in codes[j]
                 if seen and depth <= 0:
                     end = j
                     break
@@ -317,19 +362,19 @@ def _spans(out: Parsed, content: str, language: str) -> None:
                     break
         s["end_line"] = end + 1
         if language == "go" and s["kind"] in ("struct", "interface"):
-            s["signature"] = _go_shape(ls[k : end + 1], s["kind"])
+            s["signature"] = _go_shape(ls[k : end + 1], codes[k : end + 1], s["kind"])
 
 
-def _go_shape(body: list[str], kind: str) -> str:
+def _go_shape(body: list[str], codes: list[str], kind: str) -> str:
     """{Field type, ...} of a struct or {Method, ...} of an interface: the exported names of its outermost level."""
     if len(body) == 1:
         inside = body[0].partition("{")[2].rpartition("}")[0].split(";")
     else:
         inside, depth = [], 1
-        for line in body[1:-1]:
-            if depth == 1:
+        for line, code in zip(body[1:-1], codes[1:-1], strict=True):
+            if depth == 1 and code.strip():
                 inside.append(line)
-            depth += line.count("{") - line.count("}")
+            depth += code.count("{") - code.count("}")
     out: list[str] = []
     for line in inside:
         bare = re.split(r"`|//", line, maxsplit=1)[0].strip()

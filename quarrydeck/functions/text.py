@@ -18,13 +18,25 @@ refactor improve cleanup""".split()
 NEGATIONS = ["not", "without", "except", "no"]
 
 
+def either(words: list[str]) -> str:
+    """A pattern of any of the words (not empty) that goes by their letters, so that few are tried at a place."""
+    ends, tails = False, {}
+    for w in sorted(set(words)):
+        if not w:
+            ends = True
+        else:
+            tails.setdefault(w[0], []).append(w[1:])
+    parts = [re.escape(c) + either(rest) for c, rest in tails.items()]
+    return "" if not parts else f"(?:{'|'.join(parts)})" + ("?" if ends else "") if len(parts) > 1 or ends else parts[0]
+
+
 def _token(word: str) -> str:
     """A pattern that takes ``word`` as a whole token: a run of ASCII letters, digits and hyphens, but for hyphens at its ends."""
     return rf"(?<![a-z0-9-])-*+{word}-*+(?![a-z0-9-])"
 
 
 #: A token that isn't a stop word; group 1 is the token.
-TOKEN = rf"(?<![a-z0-9-])-*+(?!(?:{'|'.join(STOP_WORDS)})-*+(?![a-z0-9-]))([a-z0-9](?:[a-z0-9-]*[a-z0-9])?)"
+TOKEN = rf"(?<![a-z0-9-])-*+(?!{either(STOP_WORDS)}-*+(?![a-z0-9-]))([a-z0-9](?:[a-z0-9-]*[a-z0-9])?)"
 
 
 def goal_tokens(text: Column) -> Column:

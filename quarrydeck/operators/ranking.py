@@ -73,8 +73,8 @@ def goal_counts(files: DataFrame, terms: list[str], content: str = "content") ->
     """goal_table with exact terms, straight from whole texts: each row counts its own tokens, and nothing is shuffled."""
     text = F.col(content)
     tf = lambda t: F.nullif(token_count(text, t), F.lit(0)).cast("double")
-    counts = [c for i, t in enumerate(terms) for c in (tf(t).alias(f"w{i}"), tf(t).alias(f"e{i}"))]
-    return files.select("path", token_count(text).cast("double").alias("dl"), *counts)
+    counted = files.select("path", token_count(text).cast("double").alias("dl"), *[tf(t).alias(f"w{i}") for i, t in enumerate(terms)])
+    return counted.select("*", *[F.col(f"w{i}").alias(f"e{i}") for i in range(len(terms))])
 
 
 def bm25_scores(table: DataFrame, terms: list[str], pairs: bool = False) -> DataFrame:

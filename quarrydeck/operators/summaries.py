@@ -50,6 +50,36 @@ def consolidated(groups: DataFrame, small: int = 2) -> DataFrame:
     return groups.join(best, "top", "left").select("id", F.when((F.col("files") <= small) & F.col("target").isNotNull(), F.col("target")).otherwise(F.col("id")).alias("into"))
 
 
+def merged_plans(groups: DataFrame, most: int = 3, small: int = 2) -> DataFrame:
+    """plan, id, into, files: the groups of each plan put together until at most ``most`` are left; files: those of the group it goes into.
+
+    groups: plan, id, files, tops (top folders of the group's files; the first names the group's
+    place). Plans of ``most`` groups or fewer stay. In others, groups are taken by falling files,
+    then id; those of at most ``small`` files join the first group before them (larger ones come
+    first) whose place they touch, and stay where none is. Then the last two become one, under the
+    name of the larger, and are sorted in again, until ``most`` are left. All plans go at once;
+    a plan is one row. Groups with null files count none; null tops touch no place.
+    """
+    g = F.struct((-F.coalesce("files", F.lit(0))).cast("long").alias("nf"), "id", F.coalesce(F.get("tops", F.lit(0)), F.lit("")).alias("place"), F.coalesce("tops", F.array().cast("array<string>")).alias("tops"), F.array("id").alias("ids"))
+    plans = groups.groupBy("plan").agg(F.array_sort(F.collect_list(g)).alias("gs"))
+    join = lambda a, b: F.struct((a["nf"] + b["nf"]).alias("nf"), a["id"].alias("id"), a["place"].alias("place"), a["tops"].alias("tops"), F.concat(a["ids"], b["ids"]).alias("ids"))
+
+    def ride(out: Column, r: Column) -> Column:
+        at = F.array_position(F.transform(out, lambda x: F.array_contains(r["tops"], x["place"])), F.lit(True))
+        return F.when(at == 0, F.array_append(out, r)).otherwise(F.transform(out, lambda x, i: F.when(i + 1 == at, join(x, r)).otherwise(x)))
+
+    def last_two(gs: Column, _: Column) -> Column:
+        n = F.size(gs)
+        return F.array_sort(F.array_append(F.slice(gs, F.lit(1), F.greatest(n - 2, F.lit(0))), join(F.element_at(gs, -2), F.element_at(gs, -1))))
+
+    large = F.filter("gs", lambda x: -x["nf"] > small)
+    ridden = F.array_sort(F.aggregate(F.filter("gs", lambda x: -x["nf"] <= small), large, ride))
+    plans = plans.withColumn("gs", F.when(F.size("gs") > most, ridden).otherwise(F.col("gs")))
+    rounds = F.when(F.size("gs") > most, F.sequence(F.lit(1), F.greatest(F.size("gs") - most, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    done = plans.select("plan", F.explode(F.aggregate(rounds, F.col("gs"), last_two)).alias("g"))
+    return done.select("plan", F.explode("g.ids").alias("id"), F.col("g.id").alias("into"), (-F.col("g.nf")).alias("files"))
+
+
 def hygiene(tracked: DataFrame, untracked: DataFrame, ignored: DataFrame) -> DataFrame:
     """what, n of three lists of paths: counts, and source files that are tracked though ignored."""
     count = lambda df, what: df.select("path").distinct().agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")

@@ -25,6 +25,17 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
+def stat_files(spark: SparkSession, root: str) -> DataFrame:
+    """path (relative), size, mtime of every file below a root, from the listing: no content is read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return raw.select(_relative(root).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+
+
+def _relative(root: str) -> Column:
+    base = re.escape(root.rstrip("/").lstrip("/"))
+    return F.regexp_replace("path", rf"^[a-z]+:/*{base}/", "")
+
+
 def scan_files(spark: SparkSession, root: str, include: list[str] = (), exclude: list[str] = (), max_size: int = MAX_FILE_SIZE) -> DataFrame:
     """path (relative), language, size, mtime, sha256, content of the source files below a root.
 

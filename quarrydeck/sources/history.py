@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def porcelain(raw: DataFrame, column: str = "raw") -> DataFrame:
@@ -45,9 +45,34 @@ def name_status(raw: DataFrame, column: str = "raw") -> DataFrame:
     return rows.select(F.explode(F.coalesce(out, F.when(F.lit(True), F.array(F.struct(bad.cast("string").alias("path"), F.lit("").alias("status")))))).alias("x")).select("x.path", "x.status").distinct()
 
 
+def _items(lines: Column) -> tuple[Column, Column]:
+    """The set's name and its items, from the lines of one set."""
+    rest = F.filter(lines, lambda x, i: (i > 0) & (F.trim(x) != ""))
+    return F.trim(F.element_at(lines, 1)).alias("set"), F.explode(rest).alias("item")
+
+
 def change_sets(raw: DataFrame, column: str = "raw", mark: str = "commit ") -> DataFrame:
     """set, item of a log listing in which a line with ``mark`` and an id begins each set of path lines."""
     lines = F.split(column, "\n")
     parts = F.filter(F.split(F.concat(F.lit("\n"), F.array_join(lines, "\n")), f"\n{mark}"), lambda p: F.trim(p) != "")
-    sets = raw.select(F.explode(parts).alias("p")).select(F.split("p", "\n").alias("ls"))
-    return sets.select(F.trim(F.element_at("ls", 1)).alias("set"), F.explode(F.filter(F.slice("ls", 2, 1 << 20), lambda x: F.trim(x) != "")).alias("item"))
+    return raw.select(F.explode(parts).alias("p")).select(*_items(F.split("p", "\n")))
+
+
+def log_sets(spark: SparkSession, path: str, mark: str = "commit ", under: str | None = None) -> DataFrame:
+    """set, item as change_sets() has them, of log files that any number of tasks read: Spark cuts files at their marks.
+
+    A set is one record of the text reader, so that a file of any length is dealt out by its
+    bytes, and no task holds more than one set at a time. under: only items in that folder; sets
+    without any such item make no row. Sets without items, and blank lines, make no rows.
+    """
+    records = spark.read.option("lineSep", f"\n{mark}").text(path)
+    # the first record of a file begins with the mark itself
+    record = F.when(F.startswith("value", F.lit(mark)), F.substr("value", F.lit(len(mark) + 1))).otherwise(F.col("value"))
+    sets = records.select(record.alias("p")).where("trim(p) <> ''").select(*_items(F.split("p", "\n")))
+    return sets if under is None else sets.where(F.startswith("item", F.lit(under.rstrip("/") + "/")))
+
+
+def tracked(raw: DataFrame, files: DataFrame, column: str = "raw") -> DataFrame:
+    """The rows of files (path) that a NUL-separated listing of tracked paths names; a path that is listed but isn't there makes no row."""
+    names = raw.select(F.explode(F.split(column, "\0")).alias("path")).where("path <> ''").distinct()
+    return files.join(names, "path", "left_semi")

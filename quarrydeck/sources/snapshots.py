@@ -47,3 +47,53 @@ def digest(df: DataFrame, key: str = "path", value: str = "sha256", parts: int |
     line = F.concat_ws("\0", F.col(key), F.col(value))
     part = df.groupBy(F.pmod(F.xxhash64(key), parts).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(line, 256))), "\n"), 256).alias("h"))
     return part.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("p").cast("string"), "h"))), "\n"), 256).alias("digest"))
+
+
+#: Sums of hashes that make a folder's mark: each is of 60 bits of a row's sha256.
+_LANES = 4
+
+
+def folder_marks(df: DataFrame, key: str = "path", value: str = "sha256") -> DataFrame:
+    """folder, n, m0 to m3: sums over the (key, value) rows of each folder. Rows can be added and taken off; order and tasks don't matter."""
+    line = F.sha2(F.concat_ws("\0", F.col(key), F.coalesce(F.col(value), F.lit(""))), 256)
+    folder = F.when(F.instr(key, "/") > 0, F.regexp_replace(key, "/[^/]*$", "")).otherwise(".")
+    rows = df.where(F.col(key).isNotNull()).select(folder.alias("folder"), line.alias("h"))
+    lanes = [F.sum(F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).alias(f"m{k}") for k in range(_LANES)]
+    return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), *lanes)
+
+
+def moved_marks(marks: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
+    """The marks after the rows whose marks are ``gone`` left and those whose marks are ``come`` came: no row that stayed is read."""
+    names = ["n", *[f"m{k}" for k in range(_LANES)]]
+    less = gone.select("folder", *[(-F.col(c)).alias(c) for c in names])
+    total = marks.unionByName(less).unionByName(come).groupBy("folder").agg(*[F.sum(c).alias(c) for c in names])
+    return total.where("n > 0")
+
+
+def corpus_mark(marks: DataFrame) -> DataFrame:
+    """n and m0 to m3 of the whole corpus: one row, by one sum."""
+    return marks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["n", *[f"m{k}" for k in range(_LANES)]]])
+
+
+def stat_changes(old: DataFrame, now: DataFrame, key: str = "path") -> DataFrame:
+    """key, status (same, touched, added or deleted) by size and mtime alone; both tables have key, size, mtime. touched: its content may differ."""
+    a = old.select(key, F.struct("size", "mtime").alias("_was"))
+    b = now.select(key, F.struct("size", "mtime").alias("_is"))
+    both = a.join(b, key, "full_outer")
+    return both.select(key, F.when(F.col("_was").isNull(), "added").when(F.col("_is").isNull(), "deleted").when(F.col("_was") == F.col("_is"), "same").otherwise("touched").alias("status"))
+
+
+def refreshed(old: DataFrame, now: DataFrame, key: str = "path") -> DataFrame:
+    """key, status (fresh, modified, added or deleted), size, mtime, sha256: what status() says, from contents of touched and added files alone.
+
+    old: key, size, mtime, sha256; now: key, size, mtime, content. Keys whose size and mtime are as
+    they were keep their sha256. Untouched contents are dropped before they are hashed; where now
+    is a scan of files, look at stat_changes() first and scan only what it names.
+    """
+    moves = stat_changes(old, now, key)
+    due = now.join(moves.where("status in ('touched', 'added')").select(key), key, "left_semi").select(key, F.sha2(F.col("content").cast("binary"), 256).alias("_new"))
+    stats = now.select(key, F.col("size").alias("_size"), F.col("mtime").alias("_mtime"))
+    all_ = moves.join(old.select(key, "size", "mtime", "sha256"), key, "left").join(due, key, "left").join(stats, key, "left")
+    kind = F.when(F.col("status") == "same", "fresh").when(F.col("status") == "touched", F.when(F.col("sha256").eqNullSafe(F.col("_new")), "fresh").otherwise("modified")).otherwise(F.col("status"))
+    there = F.col("status") != "deleted"
+    return all_.select(key, kind.alias("status"), F.when(there, F.col("_size")).alias("size"), F.when(there, F.col("_mtime")).alias("mtime"), F.when(there, F.coalesce("_new", "sha256")).alias("sha256"))
