@@ -12,7 +12,7 @@
    components differ are compared on the full sets, in blocks. No pair is capped or sampled.
 
 A pair of similarity 0.85 shares no bucket with probability 2 * (1 - 0.85 ** 2) ** 8, i.e. 7e-5
-at the defaults, and fails the sketch test in step 4 with probability 3e-6; no pair that
+at the defaults, and fails the sketch test in step 4 with probability 9e-6; no pair that
 differs by more is ever linked.
 """
 
@@ -29,8 +29,6 @@ from quarrydeck.operators.components import components
 from .common import cut, ship_code, table
 
 HALF, ROWS, HASHES = 8, 2, 64
-#: Agreeing min-hashes of HASHES that two sketches need to be compared in step 4, at a similarity of 0.85 (4.5 standard deviations below what is expected).
-AGREE = 42
 #: Classes in one block of step 4, and members that one task compares with a leader at a time.
 BLOCK = 512
 #: Rows of ids up to which they are broadcast (16 MB); beyond, a shuffle join is used.
@@ -147,7 +145,7 @@ def _compare(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right:
         # counts by a matrix product over the shingles that both sides have
         lv, rv = np.concatenate([sets[k] for k in left]), np.concatenate([sets[k] for k in right])
         both = np.intersect1d(lv, rv)
-        counts = np.zeros((len(left), len(right)), np.float32)
+        counts = np.zeros((len(left), len(right)), np.float64)
         if len(both):
             def columns(v: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 at = np.minimum(np.searchsorted(both, v), len(both) - 1)
@@ -161,8 +159,9 @@ def _compare(sets: list[np.ndarray], sizes: np.ndarray, left: np.ndarray, right:
                 x[lo[s], lc[s] - c] = 1
                 y[ro[t], rc[t] - c] = 1
                 counts += x @ y.T
-        union = sizes[left][:, None] + sizes[right][None, :] - counts
-        pairs = zip(*np.nonzero(den * counts >= num * union), strict=True)
+        common = counts.astype(np.int64)  # whole numbers, held exactly
+        union = sizes[left][:, None] + sizes[right][None, :] - common
+        pairs = zip(*np.nonzero(den * common >= num * union), strict=True)
         found = ((int(left[i]), int(right[j])) for i, j in pairs)
         for i, j in found:
             a, b = find(i), find(j)

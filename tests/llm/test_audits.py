@@ -279,3 +279,17 @@ def test_decontamination_runs_no_python(spark, tmp_path):
     docs, items = leak_case(2)
     plan = dc.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+# 4 near-dedup: links of very large sets
+
+
+@pytest.mark.parametrize(("n", "linked"), [(850_000, True), (849_999, False)])
+def test_links_of_very_large_sets_are_exact(n, linked):
+    from quarrydeck.llm import near_dedup
+
+    a = np.arange(1_000_000, dtype=np.uint64)
+    sets = [a[:n], a] + [a[i * 10 : i * 10 + 20] for i in range(70)]  # enough pairs for the product of matrices
+    at, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
+    found = near_dedup._compare(sets, sizes, at, at, 85, 100, list(range(len(sets))))
+    assert any(set(p) == {0, 1} for p in found) == linked
