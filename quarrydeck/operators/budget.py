@@ -89,6 +89,20 @@ def detail_levels(files: DataFrame, max_tokens: int) -> DataFrame:
     return done.union(shown.where("not shown").select("path", "rank", F.lit(-1).alias("level")))
 
 
+def promote_fields(levels: DataFrame, sizes: DataFrame, fields: DataFrame, max_tokens: int, most: int = 10) -> DataFrame:
+    """levels (path, rank, level) with level 3 for the first ``most`` files in detail whose fields still fit, by rank; others that don't fit are passed over.
+
+    sizes: path, header, summary, cost, by which what the levels use is summed up; fields: path,
+    field_cost of the files that have fields. A file without fields stays as it is.
+    """
+    spent = F.when(F.col("level") >= 2, F.col("header") + F.col("cost")).when(F.col("level") == 1, F.col("header") + F.col("summary")).when(F.col("level") == 0, F.col("header")).otherwise(0)
+    used = levels.join(sizes, "path").agg(F.coalesce(F.sum(spent), F.lit(0)).alias("u")).first()["u"]
+    able = levels.where("level >= 2").join(fields, "path").select("path", "rank", "field_cost")
+    taken = greedy(able, ["rank"], "field_cost", 4 * max_tokens - used, "path").where("taken").join(able.select("path", "rank"), "path")
+    first = taken.orderBy("rank").limit(most).select("path", F.lit(3).alias("up"))
+    return levels.join(F.broadcast(first), "path", "left").select("path", "rank", F.coalesce("up", "level").alias("level"))
+
+
 def apply_overrides(levels: DataFrame, rules: DataFrame) -> DataFrame:
     """levels with the level that a rule (pattern, a regular expression, and level) forces on a path; the first pattern in byte order wins."""
     hit = levels.join(small(rules, 10_000), F.expr("path rlike pattern"), "left")

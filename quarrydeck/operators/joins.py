@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrydeck.functions.classify import import_score, score_weight
+from quarrydeck.session import cut
 
 
 def importer_counts(imports: DataFrame, key: str = "imp", importer: str = "path") -> DataFrame:
@@ -148,10 +149,19 @@ def find_ladder(symbols: DataFrame, name: str, kind: str | None = None, path: st
 
 
 def ranked(df: DataFrame, order: list, out: str = "rank", limit: int | None = None) -> DataFrame:
-    """Positions from 1 in a total order; with ``limit`` only the first rows are sorted out (a top-k)."""
+    """Positions from 1 in a total order; with ``limit`` only the first rows are sorted out (a top-k).
+
+    Without one, rows are dealt to tasks by ranges of the order, numbered there, and moved up by
+    the numbers of rows in the ranges before (a row for each task).
+    """
     if limit is not None:
-        df = df.orderBy(*order).limit(limit)
-    return df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
+        return df.orderBy(*order).limit(limit).withColumn(out, F.row_number().over(Window.orderBy(*order)))
+    # which task has a row is fixed by the checkpoint
+    placed = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return placed.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn(out, (F.col("_own") + F.col("_before")).cast("int")).select(*df.columns, out)
 
 
 def adjacent_distinct(df: DataFrame, group: list[str], order: list, value: str) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarrydeck.functions import classify, parsing, text as T
-from quarrydeck.operators import budget, graph, joins, ranking
+from quarrydeck.operators import budget, graph, joins, packets, ranking
 
 # Import prefixes of each language, the boundary they mean and what it adds.
 BOUNDARIES = {
@@ -19,6 +19,10 @@ BOUNDARIES = {
 }
 
 
+#: Bytes of source that a target of a packet shows at most, and those of its start.
+SOURCE_BYTES, START_BYTES = 4800, 1600
+
+
 def boundary_rules(spark: SparkSession) -> DataFrame:
     rows = [(lang, label, p, bump) for langs, rules in BOUNDARIES.items() for lang in langs.split() for label, prefixes, bump in rules for p in prefixes]
     return spark.createDataFrame(rows, "language string, label string, prefix string, bump int")
@@ -281,3 +285,32 @@ class CodeMap:
         effects = self.effects().groupBy("path").agg(F.array_sort(F.collect_set("kind")).alias("effects"))
         out = best.join(importers, "path", "left").join(effects, "path", "left")
         return out.withColumn("tier", classify.relevance_tier(F.col("relevance"))).orderBy("rank")
+
+    def packets(self, goals: DataFrame, max_tokens: int = 4096, targets: int = 6) -> DataFrame:
+        """A packet for each of many goals (goal, text) within a token budget: see operators.packets.packets.
+
+        Files are relevant by the tokens of their paths, names, packages, signatures, imports and
+        docs. A target in full has its importers, tests, effects and source; then only the start
+        of its source; then no relations; then its identity alone.
+        """
+        s = self.symbols.groupBy("path").agg(F.concat_ws(" ", F.collect_list("name")).alias("names"), F.concat_ws(" ", F.collect_list("signature")).alias("signatures"), F.concat_ws(" ", F.collect_list("doc")).alias("docs"))
+        i = self.imports.groupBy("path").agg(F.concat_ws(" ", F.collect_list("imp")).alias("imps"))
+        code = self.ranked.where(~classify.is_test_file(F.col("path")))
+        plain = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "([a-z0-9])([A-Z])|[/._]", "$1 $2")
+        fields = {"where": 8, "names": 8, "package": 5, "signatures": 4, "imps": 3, "docs": 3}
+        rows = code.select("path", F.col("path").alias("where"), "package").join(s, "path", "left").join(i, "path", "left")
+        found = packets.relevance(rows.select("path", *[plain(c).alias(c) for c in fields]), packets.goal_terms(goals), fields)
+        importers = self.edges.groupBy(F.col("dst").alias("path")).agg(F.sum(F.octet_length("src") + 8).alias("in_bytes"))
+        effects = self.effects().groupBy("path").agg(F.sum(F.octet_length("name") + 24).alias("effect_bytes"))
+        tests = self.ranked.where(classify.is_test_file(F.col("path"))).groupBy("folder").agg(F.sum(F.octet_length("path") + 8).alias("test_bytes"))
+        sized = code.select("path", "package", "folder", "score").join(self.files.select("path", F.octet_length("content").alias("source")), "path").join(importers, "path", "left").join(effects, "path", "left").join(tests, "folder", "left").fillna(0, ["in_bytes", "effect_bytes", "test_bytes"])
+        tokens = lambda b: F.ceil(b / 4).cast("long")
+        own, rest = F.octet_length("path") + F.octet_length("package") + 160, F.col("in_bytes") + F.col("effect_bytes") + F.col("test_bytes")
+        source, start = F.least(F.col("source"), F.lit(SOURCE_BYTES)), F.least(F.col("source"), F.lit(START_BYTES))
+        costs = F.array(tokens(own + rest + source), F.when(F.col("source") > START_BYTES, tokens(own + rest + start)), tokens(own + start), F.when(F.col("source") > 0, tokens(own)))
+        return packets.packets(found.join(sized.select("path", "score", costs.alias("costs")), "path"), max_tokens, targets=targets)
+
+    def close(self) -> None:
+        """Give back what the map holds in memory; its tables are worked out anew if they are asked again."""
+        for held in (self.parsed, self.edges, self.ranked):
+            held.unpersist()

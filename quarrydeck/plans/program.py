@@ -342,6 +342,25 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.detail_levels(files, 640).select("path", "rank", F.col("level").cast("int").alias("level"))
 
 
+@query(
+    "e69b_field_levels",
+    f"""
+with recursive lv as ({sql_of("e69_levels")}), f as (select s_suppkey as path, 20 + s_suppkey % 7 as header, s_suppkey * 31 % 90 as summary, 2 * (s_suppkey * 31 % 90) + s_suppkey % 50 as cost from supplier),
+u as (select 2800 - coalesce(sum(case when level >= 2 then header + cost when level = 1 then header + summary when level = 0 then header else 0 end), 0) as room from lv join f using (path)),
+a as (select path, row_number() over (order by rank) as n, 10 + path % 40 as c from lv where level >= 2 and path % 3 <> 0),
+g(n, path, up, room, done) as (select 0::bigint, null::bigint, false, room, 0 from u
+  union all select a.n, a.path, c <= room and done < 10, case when c <= room and done < 10 then room - c else room end, done + (c <= room and done < 10)::int from g join a on a.n = g.n + 1)
+select lv.path, lv.rank, case when g.up then 3 else level end::integer as level from lv left join g on g.path = lv.path""",
+)
+def field_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The levels of e69_levels, and the fields of the first files in detail, with some more room than that."""
+    i = F.col("s_suppkey")
+    sizes = table(spark, sf_dir, "supplier").select(i.alias("path"), (20 + i % 7).alias("header"), (i * 31 % 90).alias("summary"), (2 * (i * 31 % 90) + i % 50).alias("cost"))
+    fields = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(i.alias("path"), (10 + i % 40).alias("field_cost"))
+    out = budget.promote_fields(levels(spark, sf_dir), sizes, fields, 700)
+    return out.select("path", "rank", F.col("level").cast("int").alias("level"))
+
+
 @query(
     "e70_overrides",
     _PATHS

@@ -30,7 +30,7 @@ def sql_of(name: str) -> str:
 
 def _load() -> None:
     """The modules whose queries are registered."""
-    from . import corpus, dispatching, packing, program, relational, reviews  # noqa: F401
+    from . import corpus, dispatching, packing, program, relational, rendering, reviews, serving  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from quarrydeck.functions.text import xml_escape
+from quarrydeck.operators.budget import running
 
 
 def file_blocks(levels: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -50,6 +51,15 @@ def largest_prefix(items: list, max_tokens: int, encode: Callable[[list], bytes]
     return encode(items[:low])
 
 
+def fitting(blocks: DataFrame, max_tokens: int, envelope: int = 0) -> DataFrame:
+    """The leading blocks (rank, block) whose text in rank order, with a line end each, is at most 4 bytes a token less the envelope's bytes; used: bytes so far.
+
+    Sizes are summed up part by part (see budget.running), so that any number of blocks is cut in tasks.
+    """
+    sized = blocks.withColumn("bytes", (F.octet_length("block") + 1).cast("long"))
+    return running(sized, ["rank"], "bytes").where(F.col("used") <= 4 * max_tokens - envelope).drop("bytes")
+
+
 def bounded(raw: str, max_lines: int, max_bytes: int) -> str:
     """A text cut at whole lines and characters, with a notice of what is left out."""
     lines = raw.split("\n")

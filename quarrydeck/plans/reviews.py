@@ -186,15 +186,16 @@ with p as (select p_partkey as k, p_partkey // 4 as d, p_partkey % 4 as r from p
 f as (select k, d, r, 'd' || d || '/f' || case when r = 3 then (k - 3) || '_test' else k::varchar end || '.go' as path from p)"""
 
 
-def _map(spark: SparkSession, sf_dir: str) -> CodeMap:
-    """A program of Go: a file for each part, four in a folder (the last one tests the first), the first importing the next folder but from every third; odd files call what the file before declares."""
+def _map(spark: SparkSession, sf_dir: str, files: int | None = None) -> CodeMap:
+    """A program of Go: a file for each part (or each of the first ``files``, for the bench), four in a folder (the last one tests the first), the first importing the next folder but from every third; odd files call what the file before declares."""
     k = F.col("p_partkey")
     n, d, r, text = F.floor(k / 4), F.concat(F.lit("d"), F.floor(k / 4).cast("string")), k % 4, lambda c: c.cast("string")
     path = F.concat(d, F.lit("/f"), F.when(r == 3, F.concat(text(k - 3), F.lit("_test"))).otherwise(text(k)), F.lit(".go"))
     imported = F.when((r == 0) & (n % 3 != 0), F.concat(F.lit('import "example.com/app/d'), text(n + 1), F.lit('"\n\n'))).otherwise("")
     call = F.when(k % 2 == 1, F.concat(F.lit("\tRun"), text(k - 1), F.lit("()\n"))).otherwise("")
     content = F.concat(F.lit("package "), d, F.lit("\n\n"), imported, F.lit("func Run"), text(k), F.lit("() error {\n"), call, F.lit("}\n"))
-    files = table(spark, sf_dir, "part").select(path.alias("path"), F.lit("go").alias("language"), content.alias("content")).withColumn("sha256", F.sha2("content", 256))
+    part = table(spark, sf_dir, "part") if files is None else table(spark, sf_dir, "part").where(k < files)
+    files = part.select(path.alias("path"), F.lit("go").alias("language"), content.alias("content")).withColumn("sha256", F.sha2("content", 256))
     return CodeMap.build(files, "example.com/app")
 
 

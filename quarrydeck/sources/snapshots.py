@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 #: Share of changed files up to which a snapshot is merged rather than built anew.
 MERGE_SHARE = 0.30
 
 
+_POINTER = "number long, name string"
+
+
+def _versions(spark: SparkSession, folder: str) -> Row | None:
+    """The pointer's last row, or None where nothing was saved."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/pointer")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema(_POINTER).parquet(f"{folder.rstrip('/')}/pointer").orderBy(F.desc("number"), F.desc("name")).first()
+
+
 def save(df: DataFrame, folder: str) -> None:
-    df.write.mode("overwrite").parquet(folder)
+    """Write df as a new version below folder, then point to it. What was saved before stays whole, and current until then; df may be read from it."""
+    spark = df.sparkSession
+    last = _versions(spark, folder)
+    name = f"{folder.rstrip('/')}/v-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    spark.createDataFrame([(last["number"] + 1 if last else 0, name)], _POINTER).coalesce(1).write.mode("append").parquet(f"{folder.rstrip('/')}/pointer")
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder)
+    """The version that was saved last."""
+    last = _versions(spark, folder)
+    if last is None:
+        raise FileNotFoundError(f"no snapshot was saved in {folder}")
+    return spark.read.parquet(last["name"])
 
 
 def status(old: DataFrame, new: DataFrame, key: str = "path", value: str = "sha256") -> DataFrame:

@@ -126,3 +126,13 @@ def test_serving(code):
 
 def test_normal_path(spark):
     assert spark.range(1).select(normal_path(F.lit("a/./b/../c")).alias("x")).first()["x"] == "a/c"
+
+
+def test_packets_of_goals_over_the_map(spark, code):
+    goals = spark.createDataFrame([(1, "refresh the token store"), (2, "assist"), (3, "nothing here matches zzz"), (4, None)], "goal int, text string")
+    found = {r["goal"]: r for r in code.packets(goals, 600).collect()}
+    assert set(found) == {1, 2}
+    assert found[1]["targets"][0]["path"] == "store/store.go" and found[1]["targets"][0]["variant"] == "full"
+    assert found[2]["targets"][0]["path"] == "tool/help.py" and all(r["used"] <= 600 for r in found.values())
+    tight = {r["goal"]: r for r in code.packets(goals, 60).collect()}
+    assert tight[2]["targets"][0]["variant"] in ("identity", "minimum") and tight[2]["omissions"]
