@@ -69,7 +69,7 @@ def answers(lines: DataFrame, tables: dict[str, DataFrame], version: int) -> Dat
     found = found.select("method", "asked", F.to_json(F.struct(F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("matches", none).alias("matches"))).alias("result"))
     best = first.where("method = 'file/context' and pos = 1").join(tables["files"].select("path", "content"), "path").join(totals, ["method", "asked"])
     length = F.coalesce(F.col("end_line"), F.col("line")) - F.col("line") + 1
-    source = F.slice(F.split("content", "\n"), F.col("line"), F.greatest(F.least(length, F.lit(LINES)), F.lit(1)))
+    source = F.slice(F.split("content", "\n"), F.greatest(F.coalesce("line", F.lit(1)), F.lit(1)), F.greatest(F.least(length, F.lit(LINES)), F.lit(1)))
     context = best.select("method", "asked", F.to_json(F.struct("path", "name", "line", "total", source.alias("source"), (length > LINES).alias("truncated"), length.alias("lines"))).alias("result"))
     rows = F.array_sort(F.collect_list(F.struct("component", "value")))
     explained = good.where("method = 'file/explain'").join(tables["components"].select(F.col("path").alias("asked"), "component", "value"), "asked").groupBy("method", "asked").agg(F.to_json(F.struct(F.sum("value").alias("score"), rows.alias("components"))).alias("result"))
@@ -87,6 +87,8 @@ def serve(spark: SparkSession, inbox: str, snapshots: str, out: str, checkpoint:
 
     def batch(rows: DataFrame, number: int) -> None:
         version, tables = latest(rows.sparkSession, snapshots)
-        answers(rows, tables, version).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
+        held = rows.persist()  # the files of a batch are read once
+        answers(held, tables, version).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
+        held.unpersist()
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
