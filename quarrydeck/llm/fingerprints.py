@@ -1,8 +1,8 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone.
 
-A text becomes pieces: its lower-cased runs of up to RUN characters other than white space, and
-the single characters of longer runs (unspaced scripts, encoded data), so that an insertion moves
-no piece but its own. A k-mer is a run of ``k`` pieces; it is a closed syncmer if the smallest hash
+A lower-cased text becomes pieces: a letter of a script without case is one; any other run of
+characters but white space is cut after each of the characters ENDS, whatever its length, so
+that an insertion changes no piece but its own, in a long run as in a short one. A k-mer is a run of ``k`` pieces; it is a closed syncmer if the smallest hash
 among the runs of ``s`` pieces inside it is its first or last one. Whether a k-mer is selected
 depends on itself alone, so equal passages select equal anchors wherever they stand. The
 fingerprint holds the ``keep`` anchors of smallest hash with their first positions (every anchor
@@ -17,14 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import free_name, let, table
 
-K, S, KEEP = 5, 2, 64
-#: Characters of a run that is one piece, at most.
-RUN = 24
-#: Hexadecimal digits of an anchor's hash and of its position in a fingerprint. Positions beyond the largest count as the largest.
-DIGITS, PLACE = 8, 6
+#: Pieces of a k-mer (about five words of English) and of the runs inside it, and anchors of a fingerprint.
+K, S, KEEP = 8, 3, 64
+#: Characters that end a piece: about one in five of Latin, Greek and Cyrillic letters and of digits, one in eight of encoded data.
+ENDS = "stdατот37"
+#: Hexadecimal digits of an anchor's hash (of 31 bits) and of its position in a fingerprint; no string is too long for the latter.
+DIGITS, PLACE = 8, 8
 #: Pieces by which displacements of matching anchors may differ, about.
 DRIFT = 32
-_PIECE = rf"(?<!\S)\S{{1,{RUN}}}+(?!\S)|\S"
+_PIECE = rf"\p{{Lo}}|[^\s\p{{Lo}}{ENDS}]*+[{ENDS}]|[^\s\p{{Lo}}{ENDS}]++"
 #: Parts of the id range per shuffle partition, for finding each document's successor.
 PARTS = 3
 
@@ -40,9 +41,8 @@ def inner_hashes(words: Column, s: int = S) -> Column:
 
 
 def _placed(h: Column, position: Column) -> Column:
-    """The leading DIGITS digits of a hash, and a position, as one number."""
-    most = 16**PLACE - 1
-    return F.shiftleft(F.shiftrightunsigned(h, 64 - 4 * DIGITS), 4 * PLACE) + F.least(position.cast("long"), F.lit(most).cast("long"))
+    """The leading bits of a hash but for the sign, and a position, as one number that isn't negative."""
+    return F.shiftleft(F.shiftrightunsigned(h, 65 - 4 * DIGITS), 4 * PLACE) + position.cast("long")
 
 
 def syncmers(inner: Column, k: int = K, s: int = S) -> Column:
@@ -119,28 +119,29 @@ def successors(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     holds more than a part. A null key comes first.
     """
     spark = df.sparkSession
+    key_, part_, to_, at_, turn_ = (free_name(df, c) for c in ("key", "part", "to", "at", "turn"))
     parts = max(1, PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")))
     low = F.lit(-(2**63))
-    df = df.withColumn("_key", F.coalesce(F.col(key).cast("long"), low))
+    df = df.withColumn(key_, F.coalesce(F.col(key).cast("long"), low))
     shares = F.array(*[F.lit(i / parts) for i in range(parts)])
-    got = df.agg(F.min("_key").alias("first"), F.percentile_approx("_key", shares, 20 * parts).alias("cuts")).first()
+    got = df.agg(F.min(key_).alias("first"), F.percentile_approx(key_, shares, 20 * parts).alias("cuts")).first()
     if got["first"] is None:
-        return df.select("*", *[F.col(c).alias(f"next_{c}") for c in columns]).drop("_key")
+        return df.select("*", *[F.col(c).alias(f"next_{c}") for c in columns]).drop(key_)
     starts = sorted({got["first"], *got["cuts"]})
     n = len(starts)
     table_ = F.expr(f"transform(split('{','.join(map(str, starts))}', ','), x -> cast(x as bigint))")
     steps = [1 << b for b in range(n.bit_length() - 1, -1, -1)]
     # binary search: the number of starts up to the key
-    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda acc, s: F.when((acc + s <= n) & (F.get(table_, acc + s - 1) <= F.col("_key")), acc + s).otherwise(acc)) - 1
-    df = df.withColumn("_part", found)
-    ghost = F.get(table_, F.col("_part")) == F.col("_key")
-    before = F.pmod(F.col("_part") - 1, F.lit(n))
-    own = F.struct(F.col("_part").alias("part"), F.lit(0).alias("turn"))
+    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda acc, s: F.when((acc + s <= n) & (F.get(table_, acc + s - 1) <= F.col(key_)), acc + s).otherwise(acc)) - 1
+    df = df.withColumn(part_, found)
+    ghost = F.get(table_, F.col(part_)) == F.col(key_)
+    before = F.pmod(F.col(part_) - 1, F.lit(n))
+    own = F.struct(F.col(part_).alias("part"), F.lit(0).alias("turn"))
     places = F.when(ghost, F.array(own, F.struct(before.alias("part"), F.lit(1).alias("turn")))).otherwise(F.array(own))
-    dealt = df.withColumn("_to", F.explode(places)).withColumn("_at", F.col("_to.part")).withColumn("_turn", F.col("_to.turn")).drop("_to", "_part")
-    order = Window.partitionBy("_at").orderBy("_turn", "_key", *columns)
+    dealt = df.withColumn(to_, F.explode(places)).withColumn(at_, F.col(f"{to_}.part")).withColumn(turn_, F.col(f"{to_}.turn")).drop(to_, part_)
+    order = Window.partitionBy(at_).orderBy(turn_, key_, *columns)
     out = dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return out.where("_turn = 0").drop("_key", "_at", "_turn")
+    return out.where(F.col(turn_) == 0).drop(key_, at_, turn_)
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

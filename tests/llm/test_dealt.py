@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -90,18 +91,25 @@ def brute_fingerprint(text):
         return h
 
     signed = lambda h: h - (1 << 64) if h >> 63 else h
-    runs = re.findall(r"\S+", (text or "").lower(), re.ASCII)
-    ws = [w.encode() for run in runs for w in ([run] if len(run) <= fingerprints.RUN else run)]
+    ws = [""]
+    for c in (text or "").lower():
+        alone, blank = unicodedata.category(c) == "Lo", c in " \t\n\v\f\r"
+        if (alone or blank) and ws[-1]:
+            ws.append("")
+        ws[-1] += "" if blank else c
+        if alone or c in fingerprints.ENDS:
+            ws.append("")
+    ws = [w.encode() for w in ws if w]
     k, s = fingerprints.K, fingerprints.S
     inner = [chain(*ws[i : i + s]) for i in range(len(ws) - s + 1)] if len(ws) >= s else [chain(w) for w in ws]
     found = {}
     for i in range(len(ws) - k + 1):
         part = inner[i : i + k - s + 1]
         if min(map(signed, part)) in (signed(part[0]), signed(part[-1])):
-            found.setdefault(chain(part[0], part[2], part[3]) >> 32, i)
+            found.setdefault(chain(part[0], part[3], part[5]) >> 33, i)
     if ws and not found:
-        found = {chain(*inner) >> 32: 0}
-    return "".join(f"{h:08x}{i:06x}" for h, i in sorted(found.items())[: fingerprints.KEEP])
+        found = {chain(*inner) >> 33: 0}
+    return "".join(f"{h:08x}{i:08x}" for h, i in sorted(found.items())[: fingerprints.KEEP])
 
 
 def brute_likeness(a, b):
@@ -109,7 +117,7 @@ def brute_likeness(a, b):
         return 1.0
     if not a or not b:
         return 0.0
-    x, y = ({v[i : i + 8]: int(v[i + 8 : i + 14], 16) for i in range(0, len(v), 14)} for v in (a, b))
+    x, y = ({v[i : i + 8]: int(v[i + 8 : i + 16], 16) for i in range(0, len(v), 16)} for v in (a, b))
     union = sorted({*x, *y})[: fingerprints.KEEP]
     moved = [(y[h] - x[h] + 16) // 32 for h in union if h in x and h in y]
     return sum(len(moved) == 1 or moved.count(d) > 1 for d in moved) / len(union)
@@ -147,7 +155,7 @@ def test_syncmers_by_brute_force(spark):
     inner = r["inner"]
     assert len(inner) == len(r["w"]) - s + 1
     want = [i for i in range(len(r["w"]) - k + 1) if min(inner[i : i + k - s + 1]) in (inner[i], inner[i + k - s])]
-    assert [x & 0xFFFFFF for x in r["a"]] == want and 0.3 < len(want) / len(inner) < 0.8
+    assert [x & 0xFFFFFFFF for x in r["a"]] == want and 0.2 < len(want) / len(inner) < 0.6
 
 
 def test_texts_of_few_pieces_have_fingerprints(spark):
@@ -166,7 +174,7 @@ def test_syncmers_do_not_depend_on_context(spark):
     df = fingerprints.with_fingerprint(spark.createDataFrame([(a, b, common)], "a string, b string, c string"), "a", "fa", keep=10_000)
     df = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "b", "fb", keep=10_000), "c", "fc", keep=10_000)
     r = df.first()
-    cut = lambda x: {x[i : i + 8] for i in range(0, len(x), 14)}
+    cut = lambda x: {x[i : i + 8] for i in range(0, len(x), 16)}
     assert cut(r["fc"]) <= cut(r["fa"]) & cut(r["fb"])
 
 
@@ -181,6 +189,28 @@ def test_likeness_survives_insertions_and_moves(spark):
     assert got[0] > 0.9 and got[1] > 0.9 and got[2] == 0 and got[3] > 0.9
 
 
+def test_likeness_has_no_step_at_any_length_of_runs(spark):
+    """Runs of 1 to 60 letters without a space, a letter put into each: likeness rises with the length, without a jump."""
+    rng = random.Random(5)
+    letters = "etaoinshrdlucmfwygpbvk"
+    rows = []
+    for n in [*range(1, 61), 120, 240]:
+        for _ in range(6):
+            runs = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(60)]
+            rows.append((n, " ".join(runs), " ".join(r[: n // 2] + rng.choice(letters) + r[n // 2 :] for r in runs)))
+    df = spark.createDataFrame(rows, "n int, a string, b string")
+    df = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, "a", "fa"), "b", "fb")
+    got = dict(df.groupBy("n").agg(F.avg(fingerprints.likeness(F.col("fa"), F.col("fb")))).collect())
+    assert all(abs(got[n + 1] - got[n]) < 0.15 for n in range(1, 60)), got
+    assert got[1] < got[60] < got[120] < got[240] and got[240] > 0.4
+
+
+def test_successors_leave_other_columns_alone(spark):
+    df = spark.createDataFrame([(i, i * 2, i * 3, i * 4, i * 5, i * 6) for i in range(50)], "id long, key long, part long, to long, at long, turn long")
+    got = fingerprints.successors(df, "id", ["turn"]).collect()
+    assert len(got) == 50 and all((r["key"], r["part"], r["to"], r["at"], r["turn"], r["next_turn"]) == (r["id"] * 2, r["id"] * 3, r["id"] * 4, r["id"] * 5, r["id"] * 6, (r["id"] + 1) % 50 * 6) for r in got)
+
+
 def test_fingerprints_leave_other_columns_alone(spark):
     df = spark.createDataFrame([("a b c d e f g h", 1, 2, 3, 4)], "t string, words int, inner int, count int, found int")
     r = fingerprints.with_fingerprint(df, "t", "f").first()
