@@ -84,7 +84,8 @@ def bm25_scores(table: DataFrame, terms: list[str], pairs: bool = False) -> Data
     """
     if not terms:
         return table.sparkSession.createDataFrame([], "path string, bm25 double")
-    table = cut(table.where("dl > 0"))
+    # filtered after the checkpoint: a filter before it would be pushed down, and count all tokens twice
+    table = cut(table).where("dl > 0")
     stats = table.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"), *[F.count(f"e{i}").alias(f"df{i}") for i in range(len(terms))]).first()
     n, avg = stats["n"], stats["avg"] or 1.0
     weight = [F.lit(math.log((n - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5) + 1)) for i in range(len(terms))]

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from quarrydeck.functions import text as T
 from quarrydeck.functions.classify import history_style
 from quarrydeck.operators import audit, joins, ranking
+from quarrydeck.session import spread
 from quarrydeck.sources import snapshots
 from quarrydeck.sources.adapters import doc_path, document_files, table
 
@@ -90,7 +91,7 @@ n as (select distinct 1000000 + item_id as path, unnest(regexp_extract_all(text,
 select n.path, name, count(distinct w.path) as refs from n join w on w.word = n.name where strlen(name) >= 4 and n.path <> w.path group by 1, 2""",
 )
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.explode(T.identifiers(F.coalesce("text", F.lit("")))).alias("word"))
+    d = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("path"), F.explode(T.identifiers(F.coalesce("text", F.lit("")))).alias("word"))
     b = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1000000).alias("path"), F.explode(T.identifiers(F.col("text"))).alias("name"))
     return joins.references(d, b)
 

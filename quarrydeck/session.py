@@ -61,3 +61,16 @@ def cut(df):
     """Cut the lineage of df with a checkpoint in the shared folder (never a local one)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """df dealt out over all cores, if its files have less than Spark's least split (``spark.sql.files.openCostInBytes``) for each.
+
+    A file of one row group is one task, whatever is done with its rows. Only such small tables
+    are moved; the scan of a larger one stays as Spark cuts it.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    least = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.openCostInBytes")))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < least * cores else df

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quarrydeck.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -15,7 +17,7 @@ def doc_path():
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, language, package, content of documents."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", doc_path().alias("path"), F.col("lang").alias("language"), F.col("source").alias("package"), F.coalesce("text", F.lit("")).alias("content"))
 
 

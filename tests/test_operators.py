@@ -236,3 +236,19 @@ def test_streaming_refresh_equals_a_full_build(spark, tmp_path):
     q = refresh.refresh(spark.readStream.schema(stream).parquet(str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert rows(refresh.current(spark, str(tmp_path / "t")).select("path", "sha256")) == [("a", "1"), ("b", "3"), ("d", "1")]
+
+
+def test_small_scans_are_dealt_out_and_large_ones_are_not(spark, tmp_path):
+    from quarrydeck.session import spread
+
+    path = str(tmp_path / "t")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    dealt = spread(df)
+    assert dealt.rdd.getNumPartitions() == cores and sorted(r.id for r in dealt.collect()) == list(range(1000))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert "Exchange" not in spread(df)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
