@@ -39,6 +39,12 @@ NAMES = frozenset(
 )
 #: Beginnings of such words.
 STEMS = ("comment", "advert", "adsby", "sponsor", "cookie", "newsletter", "sidebar", "breadcrumb", "navig", "footer")
+#: Words that say only where a box stands or what kind of box it is: in a compound name the word before them names it.
+BOXES = frozenset(
+    """area articles bar block blocks body bottom box btn button buttons card cards cell center col column container content div element entry form frame group head holder icon icons
+    info inner item items label law layer layout left line link links list lists main media message more news outer page pages pane panel part post posts primary reading region results
+    right row secondary section site slot stories story tab tabs text this title toggle top unit view wrap wrapper zone""".split()
+)
 MAIN_NAMES = frozenset("article content main post entry story body text".split())
 
 #: A comment, CDATA, a declaration, or the beginning of a tag with its name.
@@ -54,6 +60,11 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 FEATURES = ("in_furniture", "named_furniture", "in_header", "in_main", "named_main", "heading", "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after")
 
 
+def _head(words: list[str]) -> str:
+    """The word that says what a compound name names: its last one but for boxes, numbers and single letters ("social-history" is a history)."""
+    return next((w for w in reversed(words) if len(w) > 1 and not w.isdigit() and w not in BOXES), "")
+
+
 class _Frame:
     __slots__ = ("tag", "main", "furniture", "named", "header", "named_main", "heading", "link", "hidden")
 
@@ -61,12 +72,15 @@ class _Frame:
         self.tag = tag
         for k in self.__slots__[1:]:
             setattr(self, k, getattr(up, k) if up else False)
-        names = set()
+        names, heads = set(), set()
         for _, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
-            names.update(_SPLIT.split(_CAMEL.sub("-", a or b or c).lower()))
+            for name in _CAMEL.sub("-", a or b or c).lower().split():
+                words = _SPLIT.split(name)
+                names.update(words)
+                heads.add(_head(words))
         if self.main or names & MAIN_NAMES:
-            names.discard("header")  # the head of an article is part of it
-        if (names & NAMES or any(n.startswith(STEMS) for n in names)) and tag not in ("body", "html", "article", "main"):
+            heads.discard("header")  # the head of an article is part of it
+        if (heads & NAMES or any(h.startswith(STEMS) for h in heads)) and tag not in ("body", "html", "article", "main"):
             self.named = True
         elif names & MAIN_NAMES:
             self.named_main = True

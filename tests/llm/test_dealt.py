@@ -850,3 +850,17 @@ def test_clashing_columns_and_order_stay(spark):
     assert lang_id.with_language(df, model, lang_out="n_tokens").first()["n_tokens"] == "en"
     pages = spark.createDataFrame([(1, "<p>some words are here</p>", "old")], "page_id long, html string, text string")
     assert html_text.with_main_text(pages).first()["text"] == "some words are here"
+
+
+@pytest.mark.parametrize("name", ["social-history", "share-price-news", "searchHistory", "header-of-state", "ad-hoc-tales", "comment-culture"])
+def test_an_unlucky_name_does_not_hide_an_article(name):
+    a, b = "The mill stood by the river for two hundred years until the flood of that spring took it.", "Nobody built it up again, and its stones are in the walls of the barns to this day."
+    page = f"<body><nav><a href=/1>Home</a></nav><div id='{name}'><h1>The mill</h1><p>{a}</p><p class='{name}'>{b}</p></div><footer>All rights reserved.</footer></body>"
+    assert html_text.main_text(page) == f"The mill {a} {b}"
+
+
+@pytest.mark.parametrize("name", ["ad-slot", "top-banner", "cookie-notice", "related-posts", "newsletter-signup", "comment-list", "reader-comments", "share-bar", "related-news", "socialLinks", "sidebar-2", "sponsored-content", "login-form", "box comments"])
+def test_compound_names_of_furniture_are_known(name):
+    a, b = "The mill stood by the river for two hundred years until the flood of that spring took it.", "Nobody built it up again, and its stones are in the walls of the barns to this day."
+    page = f"<body><article><h1>The mill</h1><p>{a}</p></article><div class='{name}'><p>{b}</p></div></body>"
+    assert html_text.main_text(page) == f"The mill {a}"
