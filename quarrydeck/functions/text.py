@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 
 from pyspark.sql import Column, functions as F
 
@@ -57,10 +58,28 @@ def signed_tokens(text: Column) -> Column:
     return F.filter(marked, lambda s: ~s["token"].isin(*NEGATIONS))
 
 
+# Characters that upper case makes longer, such as ß, and their one capital: ẞ, the title form, or themselves.
+_LONGER = [c for c in map(chr, range(sys.maxunicode + 1)) if len(c.upper()) > 1]
+_ALONE = ["ẞ" if c == "ß" else t if len(t := c.title()) == 1 else c for c in _LONGER]
+
+
+def upper(text: Column) -> Column:
+    """Upper case, character by character, so that no text grows longer."""
+    kept = "".join(_LONGER)
+    parts = F.regexp_extract_all(text, F.lit(f"[{kept}]+|[^{kept}]+"), F.lit(0))
+    one = F.array_join(F.transform(parts, lambda x: F.when(x.rlike(f"^[{kept}]"), F.translate(x, kept, "".join(_ALONE))).otherwise(F.upper(x))), "")
+    return F.when(text.rlike(f"[{kept}]"), one).otherwise(F.upper(text))
+
+
+def lower(text: Column) -> Column:
+    """Lower case, character by character: a capital sigma is the same at a word's end, and a dotted capital I is one letter."""
+    return F.lower(F.translate(text, "Σİ", "σi"))
+
+
 def camel_tokens(name: Column) -> Column:
     """An identifier's parts: split at _ and -, between lower and upper case, and before the last capital of an acronym."""
     spaced = F.regexp_replace(F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    return F.transform(F.filter(F.split(spaced, "[ _-]+"), lambda t: t != ""), lambda t: F.lower(t))
+    return F.transform(F.filter(F.split(spaced, "[ _-]+"), lambda t: t != ""), lower)
 
 
 def signature_tokens(signature: Column) -> Column:

@@ -108,7 +108,7 @@ select item_id, case when strlen(short) < 5 then '' else short end as doc,
 )
 def names_and_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").withColumn("name", F.regexp_extract("text", "^[^ ]*", 0))
-    symbol = F.concat(F.lit("get"), F.upper(F.substring("name", 1, 3)), F.lit("Of_HTTPServer"), F.col("item_id").cast("string"))
+    symbol = F.concat(F.lit("get"), T.upper(F.substring("name", 1, 3)), F.lit("Of_HTTPServer"), F.col("item_id").cast("string"))
     return b.select("item_id", T.first_sentence(F.col("text"), F.col("name")).alias("doc"), F.array_join(T.camel_tokens(symbol), " ").alias("parts"))
 
 
