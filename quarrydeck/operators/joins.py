@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarrydeck.functions.classify import import_score, score_weight
-from quarrydeck.session import cut
+from quarrydeck.session import cut, shuffled
 
 
 def importer_counts(imports: DataFrame, key: str = "imp", importer: str = "path") -> DataFrame:
@@ -45,9 +45,9 @@ def references(words: DataFrame, names: DataFrame, share: float | None = None) -
         by_name = names.groupBy("name").agg(F.countDistinct("path").alias("_files"))
         total = words.agg(F.countDistinct("path").alias("_total"))
         common = by_name.join(F.broadcast(total)).where((F.floor(F.col("_total") * share) >= 2) & (F.col("_files") > F.floor(F.col("_total") * share))).select("name")
-        names = names.join(common, "name", "left_anti")
+        names = names.join(shuffled(common), "name", "left_anti")
     by = words.select(F.col("path").alias("by"), F.col("word").alias("name"))
-    return names.join(by, "name").where(F.col("by") != F.col("path")).groupBy("path", "name").agg(F.countDistinct("by").alias("refs"))
+    return shuffled(names).join(by, "name").where(F.col("by") != F.col("path")).groupBy("path", "name").agg(F.countDistinct("by").alias("refs"))
 
 
 def reference_bonus(refs: DataFrame, each: int = 2, cap: int = 24) -> DataFrame:
@@ -60,7 +60,7 @@ def call_site_counts(calls: DataFrame, names: DataFrame) -> DataFrame:
     plain = F.regexp_replace(raw, r"\(\)$", "")
     variants = F.array_distinct(F.array(raw, F.substring_index(raw, ".", -1), plain, F.substring_index(plain, ".", -1)))
     by = calls.select(F.col("path").alias("by"), F.explode(variants).alias("name")).distinct()
-    return names.join(by, "name").where(F.col("by") != F.col("path")).groupBy("path").agg(F.countDistinct("by").alias("callers"))
+    return shuffled(names).join(by, "name").where(F.col("by") != F.col("path")).groupBy("path").agg(F.countDistinct("by").alias("callers"))
 
 
 def orphans(exported: DataFrame, used: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarrydeck.functions import classify, parsing, text as T
 from quarrydeck.operators import budget, graph, joins, packets, ranking
+from quarrydeck.session import shuffled
 
 # Import prefixes of each language, the boundary they mean and what it adds.
 BOUNDARIES = {
@@ -80,9 +81,9 @@ class CodeMap:
     def build(cls, files: DataFrame, module: str = "", include_tests: bool = False) -> CodeMap:
         spark = files.sparkSession
         parsed = parsing.parsed_files(files).withColumn("import_path", derive_import_path(module)).persist()
-        symbols, imports, calls = parsing.symbols(parsed), parsing.imports(parsed).join(parsed.select("path", "language"), "path"), parsing.calls(parsed)
+        symbols, imports, calls = parsing.symbols(parsed), parsing.imports(parsed).join(shuffled(parsed.select("path", "language")), "path"), parsing.calls(parsed)
         wanted = import_keys(imports)
-        edges = wanted.join(file_keys(parsed).withColumnRenamed("path", "target"), "key").where(F.col("path") != F.col("target")).select(F.col("path").alias("src"), F.col("target").alias("dst")).distinct().persist()
+        edges = wanted.join(shuffled(file_keys(parsed).withColumnRenamed("path", "target")), "key").where(F.col("path") != F.col("target")).select(F.col("path").alias("src"), F.col("target").alias("dst")).distinct().persist()
         exported = symbols.where("exported").select("path", "name", "kind")
         n_imports = edges.groupBy(F.col("dst").alias("path")).agg(F.countDistinct("src").alias("imported_by"))
         n_deps = edges.groupBy(F.col("src").alias("path")).agg(F.countDistinct("dst").alias("depends_on"))
@@ -94,7 +95,7 @@ class CodeMap:
         words = files.select("path", F.explode(T.identifiers(F.col("content"))).alias("word"))
         names = exported.where(F.length("name") >= 4).select("path", "name")
         refs = joins.reference_bonus(joins.references(words, names, 0.4)).withColumnRenamed("bonus", "intra_refs")
-        called = joins.call_site_counts(calls, names.join(parsed.where("language <> 'go'").select("path"), "path")).select("path", F.least(4 * F.col("callers"), F.lit(32)).alias("call_sites"))
+        called = joins.call_site_counts(calls, names.join(shuffled(parsed.where("language <> 'go'").select("path")), "path")).select("path", F.least(4 * F.col("callers"), F.lit(32)).alias("call_sites"))
         data = F.col("kind").isin("struct", "class", "interface", "type", "enum", "constant", "const", "variable", "property", "case")
         shape = exported.groupBy("path").agg(F.count(F.lit(1)).alias("n_exported"), F.sum(data.cast("int")).alias("n_data"), F.sum(F.col("kind").isin("function", "fn", "method").cast("int")).alias("n_code"))
         span = symbols.groupBy("path").agg(F.max(F.col("end_line") - F.col("line") + 1).alias("longest"))
@@ -102,8 +103,8 @@ class CodeMap:
 
         rows = parsed.select("path", "language", "package", "import_path", "parse_method").withColumn("folder", T.dirname(F.col("path")))
         for part in (n_imports, n_deps, trans, kinds, bounds, refs, called, shape, span):
-            rows = rows.join(part, "path", "left")
-        rows = rows.join(tested, "folder", "left").fillna(0, ["imported_by", "depends_on", "transitive", "symbols", "boundary", "intra_refs", "call_sites", "n_exported", "n_data", "n_code", "longest"])
+            rows = rows.join(shuffled(part), "path", "left")
+        rows = rows.join(shuffled(tested), "folder", "left").fillna(0, ["imported_by", "depends_on", "transitive", "symbols", "boundary", "intra_refs", "call_sites", "n_exported", "n_data", "n_code", "longest"])
         rows = rows.withColumn("boundaries", F.coalesce("boundaries", F.array().cast("array<string>"))).withColumn("untested", (F.col("n_exported") > 0) & F.col("tested").isNull()).withColumn("all_dead", (F.col("n_exported") > 0) & (F.col("imported_by") == 0)).drop("tested")
 
         base, stem = T.basename(F.col("path")), T.stem(F.col("path"))
@@ -153,7 +154,7 @@ class CodeMap:
         return ranking.postings(rows)
 
     def find(self, name: str, kind: str | None = None, path: str | None = None, limit: int = 20) -> DataFrame:
-        found = joins.find_ladder(self.symbols, name, kind, path).join(self.ranked.select("path", F.col("score").alias("file_score")), "path", "left")
+        found = joins.find_ladder(self.symbols, name, kind, path).join(shuffled(self.ranked.select("path", F.col("score").alias("file_score"))), "path", "left")
         return joins.ranked(found.select("path", "name", "kind", "line", "end_line", "signature", "receiver", "match", "file_score"), [F.desc("match"), F.desc("file_score"), "path", "line"], limit=limit)
 
     def context(self, name: str, most: int = 200) -> DataFrame:
@@ -169,7 +170,7 @@ class CodeMap:
         stem, folder, base = path.rsplit(".", 1)[0], path.rpartition("/")[0] or ".", path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
         near = F.startswith(F.col("path"), F.lit(stem)) | ((T.dirname(F.col("path")) == folder) & F.contains(T.basename(F.col("path")), F.lit(base)))
         tests = self.ranked.where(classify.is_test_file(F.col("path")) & near).select("path")
-        packages = self.ranked.join(importers, "path", "left_semi").select("folder").union(target.select("folder")).distinct()
+        packages = self.ranked.join(shuffled(importers), "path", "left_semi").select("folder").union(target.select("folder")).distinct()
         sorted_list = lambda df, c, out: df.agg(F.array_sort(F.collect_set(c)).alias(out))
         n = F.size("importers")
         joined = target.select("path", "boundaries", "untested").join(sorted_list(importers, "path", "importers")).join(sorted_list(tests, "path", "tests")).join(sorted_list(packages, "folder", "packages"))
@@ -185,7 +186,7 @@ class CodeMap:
         exported = self.symbols.where("exported").where(~skip)
         words = self.files.select("path", F.explode(T.identifiers(F.col("content"), 1)).alias("word"))
         used = joins.references(words, exported.select("path", "name"))
-        return exported.join(used.select("path", "name"), ["path", "name"], "left_anti").select("path", "name", "kind", "line")
+        return exported.join(shuffled(used.select("path", "name")), ["path", "name"], "left_anti").select("path", "name", "kind", "line")
 
     def ownership(self, goal: str = "", top: int = 5) -> DataFrame:
         """Folders with two or more files by their files' scores."""

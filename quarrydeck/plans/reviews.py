@@ -8,6 +8,7 @@ from quarrydeck.functions import parsing
 from quarrydeck.operators import audit, joins, review, summaries
 from quarrydeck.sources import config as settings
 from quarrydeck.sources import tags as tag_files
+from quarrydeck.session import dealt
 from quarrydeck.sources.adapters import table
 
 from . import change_plan, program
@@ -118,7 +119,8 @@ def go_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declarations of one file of Go for each part: parameters over lines, groups, fields, and files of any length."""
     k = F.col("p_partkey").cast("string")
     body = F.replace(F.replace(F.lit(GO_FILE), F.lit("#"), k), F.lit("@"), F.col("p_name"))
-    files = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), k, F.lit(".go")).alias("path"), F.lit("go").alias("language"), F.concat(F.when(F.col("p_size") > 40, F.repeat(F.lit("\n"), 600)).otherwise(""), body).alias("content"))
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
+    files = part.select(F.concat(F.lit("f"), k, F.lit(".go")).alias("path"), F.lit("go").alias("language"), F.concat(F.when(F.col("p_size") > 40, F.repeat(F.lit("\n"), 600)).otherwise(""), body).alias("content"))
     return parsing.symbols(parsing.parsed_files(files)).select("path", "name", "kind", "signature", "exported", "line", "end_line", "doc")
 
 
@@ -195,7 +197,7 @@ def _map(spark: SparkSession, sf_dir: str, files: int | None = None) -> CodeMap:
     call = F.when(k % 2 == 1, F.concat(F.lit("\tRun"), text(k - 1), F.lit("()\n"))).otherwise("")
     content = F.concat(F.lit("package "), d, F.lit("\n\n"), imported, F.lit("func Run"), text(k), F.lit("() error {\n"), call, F.lit("}\n"))
     part = table(spark, sf_dir, "part") if files is None else table(spark, sf_dir, "part").where(k < files)
-    files = part.select(path.alias("path"), F.lit("go").alias("language"), content.alias("content")).withColumn("sha256", F.sha2("content", 256))
+    files = dealt(part.select("p_partkey"), "p_partkey").select(path.alias("path"), F.lit("go").alias("language"), content.alias("content")).withColumn("sha256", F.sha2("content", 256))
     return CodeMap.build(files, "example.com/app")
 
 

@@ -32,3 +32,56 @@ def test_simple_case_against_duckdb(spark):
     every = [chr(c) for c in range(1, 0x2FFFF) if not 0xD800 <= c <= 0xDFFF and (chr(c).upper() != chr(c) or chr(c).lower() != chr(c)) and c < 0x500]
     got = spark.createDataFrame([(c,) for c in every], "c string").select("c", T.upper(F.col("c")), T.lower(F.col("c"))).collect()
     assert [tuple(r) for r in got] == duckdb.execute("select c, upper(c), lower(c) from (select unnest(?) as c)", [every]).fetchall()
+
+
+@pytest.fixture(scope="module")
+def plans(spark):
+    return lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_map_broadcasts_no_table_of_its_files(spark, plans):
+    from quarrydeck.plans import reviews
+
+    m = reviews._map(spark, "/root/testdata/sf0.001")
+    assert "BroadcastHashJoin" not in plans(m.orphans())
+    rules = plans(m.ranked).count("BroadcastHashJoin [language")
+    assert plans(m.ranked).count("BroadcastHashJoin") == rules
+    assert m.parsed.rdd.getNumPartitions() > 1
+
+
+def sets(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(60), f"s{rng.randrange(40)}") for _ in range(260)] + [(100 + k // 2, f"t{k % 2}") for k in range(8)] + [(200, "s1"), (201, "t0"), (None, "s1"), (5, None)]
+    return rows, spark.createDataFrame(rows, "item long, g string")
+
+
+def test_co_change_makes_its_pairs_without_moving_them(spark, plans):
+    from quarrydeck.operators import changes
+
+    rows, df = sets(spark)
+    for most in (None, 5):
+        by = {}
+        for item, g in rows:
+            by.setdefault(g, set()).add(item)
+        n = {}
+        for items in by.values():
+            items = sorted(i for i in items if i is not None)
+            if most is None or len(items) <= most:
+                for k, a in enumerate(items):
+                    for b in items[k + 1 :]:
+                        n[a, b] = n.get((a, b), 0) + 1
+        got = changes.co_change(df, "g", "item", 2, most)
+        assert sorted(map(tuple, got.collect())) == sorted((a, b, k) for (a, b), k in n.items() if k >= 2)
+        above = plans(got).split("Generate explode(y")[0]  # what comes after the pairs are made
+        assert "Exchange" not in above
+
+
+def test_components_of_co_change_without_its_pairs(spark):
+    from quarrydeck.operators import changes, graph
+
+    _, df = sets(spark)
+    want = graph.components(changes.co_change(df, "g", "item", 2).select(F.col("a").alias("src"), F.col("b").alias("dst"))).collect()
+    assert sorted(map(tuple, changes.co_components(df, "g", "item").collect())) == sorted(map(tuple, want))
+    assert len({r["component"] for r in want}) > 1
