@@ -5,28 +5,78 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quarrydeck.functions.classify import commit_confidence
+from quarrydeck.session import cut, shuffled
 
 from .components import components
 
 # What connects two changed files, and how strongly.
 WEIGHTS = {"test-pair": 1.0, "symbol-dep": 0.8, "co-change": 0.5, "sibling": 0.3}
 THRESHOLD = 0.75
+#: Co-change: blocks of items at least, items of one block, and tasks that the cells of two blocks are dealt to at most.
+BLOCKS, BLOCK_ITEMS, CELL_TASKS = 8, 3000, 2000
 
 
 def co_change(changes: DataFrame, group: str, item: str, least: int = 3, most: int | None = None) -> DataFrame:
     """a, b, n (a < b): how many change sets hold both items; at least ``least``.
 
-    Items are distinct per change set. A change set makes the pairs of its own items only;
-    ``most``, where given, leaves out change sets with more items (mass edits say nothing and
-    their pairs grow with the square).
+    Items are distinct per change set; ``most``, where given, leaves out change sets with more items
+    (mass edits say nothing). The pairs grow with the square of the sets, as they do in the result, so
+    they never move: items are dealt to blocks, each cell of two blocks gets its items of every set,
+    and all pairs of a cell are made, counted and dropped where it lies.
     """
-    own = changes.select(group, item).distinct()
-    sets = own.groupBy(group).agg(F.array_sort(F.collect_set(item)).alias("items")).where("size(items) > 1")
+    own = changes.select(group, item)
     if most is not None:
-        sets = sets.where(F.size("items") <= most)
-    firsts = sets.select("items", F.posexplode("items").alias("i", "a"))
-    pairs = firsts.select("a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        sizes = own.groupBy(group).agg(F.countDistinct(item).alias("_n")).where(F.col("_n") <= most)
+        own = own.join(shuffled(sizes.select(F.col(group).alias("_g"))), F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    n = own.agg(F.approx_count_distinct(item)).first()[0]
+    blocks = max(BLOCKS, -(-n // BLOCK_ITEMS))
+    block = F.pmod(F.xxhash64(item), F.lit(blocks))
+    held = own.groupBy(group, block.alias("b")).agg(F.collect_set(item).alias("items"))
+    sent = held.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("cell", F.least("b", "o") * blocks + F.greatest("b", "o"))
+    cells = sent.repartition(min(blocks * (blocks + 1) // 2, CELL_TASKS), "cell")
+    side = lambda mine: F.first(F.when(mine, F.col("items")), ignorenulls=True)
+    met = cells.groupBy("cell", group).agg(side(F.col("b") <= F.col("o")).alias("x"), side(F.col("b") >= F.col("o")).alias("y"))
+    one = F.floor(F.col("cell") / blocks) == F.col("cell") % blocks
+    pairs = met.select("cell", F.explode("x").alias("u"), "y").select("cell", "u", F.explode("y").alias("v")).where(~one | (F.col("u") < F.col("v")))
+    counts = pairs.groupBy("cell", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") >= least).select("a", "b", "n")
+
+
+def _stars(rows: DataFrame, node: str) -> DataFrame:
+    """src, dst: each node of a pair of change sets (g, h) with the pair's least one."""
+    least = rows.groupBy("g", "h").agg(F.min(node).alias("dst"))
+    return rows.join(shuffled(least), ["g", "h"]).where(F.col(node) != F.col("dst")).select(F.col(node).alias("src"), "dst").distinct()
+
+
+def co_components(changes: DataFrame, group: str, item: str) -> DataFrame:
+    """node, component (its smallest node): what pairs of items join that two change sets or more hold, without making those pairs.
+
+    All items of the same two sets are linked with each other, so each may be linked with the least
+    of them alone. First every item shows the pairs of its neighbouring sets; then the items outside
+    the largest component show all pairs of their sets, and meet all that have one of these. Items
+    without a link make no row; null items and sets are left out.
+    """
+    own = changes.where(F.col(group).isNotNull() & F.col(item).isNotNull())
+    sets = cut(own.groupBy(F.col(item).cast("long").alias("node")).agg(F.array_sort(F.collect_set(group)).alias("gs")).where("size(gs) > 1"))
+    near = sets.select("node", F.explode(F.arrays_zip(F.expr("slice(gs, 1, size(gs) - 1)").alias("g"), F.expr("slice(gs, 2, size(gs) - 1)").alias("h"))).alias("p")).select("node", "p.g", "p.h")
+    found = components(_stars(near, "node"))
+    known = cut(sets.join(shuffled(found), "node", "left").select("node", "gs", F.coalesce("component", "node").alias("component")))
+    largest = known.groupBy("component").count().orderBy(F.desc("count"), "component").first()
+    if largest is None:
+        return known.select("node", "component")
+
+    def every(rows: DataFrame) -> DataFrame:
+        firsts = rows.select("component", "gs", F.posexplode("gs").alias("i", "g"))
+        return firsts.select("component", "g", F.explode(F.slice("gs", F.col("i") + 2, F.size("gs"))).alias("h")).distinct()
+
+    outside = known.where(F.col("component") != largest["component"])
+    if not outside.isEmpty():
+        few = cut(every(outside))
+        inside = every(known.where(F.col("component") == largest["component"])).join(shuffled(few.select("g", "h").distinct()), ["g", "h"], "left_semi")
+        over = components(_stars(few.unionByName(inside), "component")).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        known = known.join(shuffled(over), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return known.join(shuffled(sizes), "component").select("node", "component")
 
 
 def combined(edges: DataFrame) -> DataFrame:

@@ -166,8 +166,7 @@ w(node, component) using key (node) as (select distinct src, src from e
 select node, component from w""",
 )
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = changes.co_change(_changes(spark, sf_dir), "g", "item", 2)
-    return graph.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return changes.co_components(_changes(spark, sf_dir), "g", "item")
 
 
 @query("e23_co_change", _CO_SQL + " select a, b, n from p where n >= 2")

@@ -85,3 +85,44 @@ def test_components_of_co_change_without_its_pairs(spark):
     want = graph.components(changes.co_change(df, "g", "item", 2).select(F.col("a").alias("src"), F.col("b").alias("dst"))).collect()
     assert sorted(map(tuple, changes.co_components(df, "g", "item").collect())) == sorted(map(tuple, want))
     assert len({r["component"] for r in want}) > 1
+
+
+def test_served_results_are_kept_once_for_all_that_ask(spark, tmp_path):
+    from quarrydeck.streaming import requests
+
+    made = {
+        "symbols": spark.createDataFrame([("f.go", "A", "function", 1, 1)], "path string, name string, kind string, line int, end_line int"),
+        "components": spark.createDataFrame([("f.go", f"c{k}", k) for k in range(500)], "path string, component string, value long"),
+        "files": spark.createDataFrame([("f.go", "x")], "path string, content string"),
+    }
+    requests.publish(spark, made, f"{tmp_path}/map", 1)
+    asks = [f'{{"id": {k}, "method": "file/explain", "params": {{"path": "{"f.go" if k % 2 else "none.go"}"}}}}' for k in range(60)]
+    spark.createDataFrame([(a,) for a in asks], "value string").write.text(f"{tmp_path}/inbox")
+    requests.serve(spark, f"{tmp_path}/inbox", f"{tmp_path}/map", f"{tmp_path}/out", f"{tmp_path}/state", results=f"{tmp_path}/results").awaitTermination()
+    out, kept = spark.read.parquet(f"{tmp_path}/out"), spark.read.parquet(f"{tmp_path}/results")
+    assert "result" not in out.columns and kept.where("method = 'file/explain'").count() == kept.select("batch").distinct().count()
+    assert sorted((int(r["id"]), r["code"]) for r in out.collect()) == [(k, None if k % 2 else requests.FAILED) for k in range(60)]
+    want = {(r["method"], r["asked"]): r["result"] for r in kept.collect()}
+    whole = requests.answers(spark.createDataFrame([(a,) for a in asks], "value string"), made, 1).where("code is null")
+    assert {r["result"] for r in whole.collect()} == {want["file/explain", "f.go"]}
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_implementations_move_no_pairs(spark, plans, monkeypatch, most):
+    import random
+
+    from quarrydeck.operators import callers
+
+    monkeypatch.setattr(callers, "BROADCAST_NEEDS", most)
+    rng = random.Random(9)
+    have = [(f"t{rng.randrange(30)}", f"m{rng.randrange(9)}") for _ in range(200)] + [("i1", "m0")]
+    need = [(f"i{rng.randrange(40)}", f"m{rng.randrange(9)}") for _ in range(90)]
+    methods, required = {}, {}
+    for t, m in have:
+        methods.setdefault(t, set()).add(m)
+    for i, m in need:
+        required.setdefault(i, set()).add(m)
+    got = callers.implementations(spark.createDataFrame(have, "type string, method string"), spark.createDataFrame(need, "interface string, method string"))
+    assert sorted(map(tuple, got.collect())) == sorted((t, i) for t, ms in methods.items() for i, ns in required.items() if ns <= ms and t != i)
+    if most:
+        assert "Exchange hashpartitioning(type" not in plans(got).split("BroadcastHashJoin [method")[0]
