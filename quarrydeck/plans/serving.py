@@ -55,13 +55,15 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
         moved = symbols.withColumn("line", F.col("line") + 100 * (number - 1)).withColumn("end_line", F.col("line"))
         requests.publish(spark, {"symbols": moved, "components": components, "files": files}, f"{folder}/map", number)
         mine.select("value").write.mode("append").text(f"{folder}/inbox")
-        requests.serve(spark, f"{folder}/inbox", f"{folder}/map", f"{folder}/out", f"{folder}/state").awaitTermination()
-    got = spark.read.parquet(f"{folder}/out")
+        requests.serve(spark, f"{folder}/inbox", f"{folder}/map", f"{folder}/out", f"{folder}/state", results=f"{folder}/results").awaitTermination()
+    got, results = spark.read.parquet(f"{folder}/out"), spark.read.parquet(f"{folder}/results")
     field = lambda p: F.get_json_object("result", p)
     status = F.concat_ws(" ", field("$.files"), field("$.symbols"))
     total = F.when(F.col("method") == "map/status", status).otherwise(F.coalesce(field("$.total"), field("$.score")))
     first = F.concat_ws(":", F.coalesce(field("$.matches[0].path"), field("$.path")), F.coalesce(field("$.matches[0].line"), field("$.line")))
-    return got.select("id", "method", "version", "code", total.alias("total"), F.nullif(first, F.lit("")).alias("first"))
+    told = results.select(F.col("batch").alias("_b"), F.col("method").alias("_m"), F.col("asked").alias("_a"), total.alias("total"), F.nullif(first, F.lit("")).alias("first"))
+    same = F.col("code").isNull() & (F.col("batch") == F.col("_b")) & (F.col("method") == F.col("_m")) & F.col("asked").eqNullSafe(F.col("_a"))
+    return got.join(told, same, "left").select("id", "method", "version", "code", "total", "first")
 
 
 @query(

@@ -46,15 +46,14 @@ def questions(lines: DataFrame) -> DataFrame:
     return q.select("value", F.col("r.id").alias("id"), method.alias("method"), asked.alias("asked"), bad.alias("code"))
 
 
-def answers(lines: DataFrame, tables: dict[str, DataFrame], version: int) -> DataFrame:
-    """value, id, method, version, code, result: one row for each request line; result is JSON, null where code says what is wrong.
+def resolved(every: DataFrame, tables: dict[str, DataFrame], version: int) -> DataFrame:
+    """method, asked, result: one row for each distinct question that has an answer, as JSON. every: see questions.
 
     tables: symbols (path, name, kind, line, end_line), components (path, component, value) and
     files (path, content). symbol/find: symbols of that name, then those that differ in case;
     file/context: the first of these with its source lines, and how many there are in all;
     file/explain: the components of the file's score; map/status: numbers of files and symbols.
     """
-    every = questions(lines)
     good = every.where("code is null").select("method", "asked").distinct()
     symbols = tables["symbols"].select("path", "name", "kind", "line", "end_line")
     named = good.where("method in ('symbol/find', 'file/context')")
@@ -75,20 +74,42 @@ def answers(lines: DataFrame, tables: dict[str, DataFrame], version: int) -> Dat
     explained = good.where("method = 'file/explain'").join(tables["components"].select(F.col("path").alias("asked"), "component", "value"), "asked").groupBy("method", "asked").agg(F.to_json(F.struct(F.sum("value").alias("score"), rows.alias("components"))).alias("result"))
     files = tables["files"].agg(F.count(F.lit(1)).alias("files")).join(symbols.agg(F.count(F.lit(1)).alias("symbols")))  # one row each
     status = files.select(F.lit("map/status").alias("method"), F.lit(None).cast("string").alias("asked"), F.to_json(F.struct(F.lit(version).alias("version"), "files", "symbols")).alias("result"))
-    known = found.union(context).union(explained).union(status).select(F.col("method").alias("_m"), F.col("asked").alias("_a"), "result")
+    return found.union(context).union(explained).union(status)
+
+
+def _replies(every: DataFrame, known: DataFrame, version: int) -> DataFrame:
+    """every with version, code and result; known: method, asked, result."""
+    known = known.select(F.col("method").alias("_m"), F.col("asked").alias("_a"), "result")
     out = every.join(known, F.col("code").isNull() & (F.col("method") == F.col("_m")) & F.col("asked").eqNullSafe(F.col("_a")), "left")
     code = F.coalesce("code", F.when(F.col("result").isNull(), FAILED))
-    return out.select("value", "id", "method", F.lit(version).cast("long").alias("version"), code.alias("code"), "result")
+    return out.select("value", "id", "method", "asked", F.lit(version).cast("long").alias("version"), code.alias("code"), "result")
+
+
+def answers(lines: DataFrame, tables: dict[str, DataFrame], version: int) -> DataFrame:
+    """value, id, method, version, code, result: one row for each request line; result is JSON (see resolved), null where code says what is wrong."""
+    every = questions(lines)
+    return _replies(every, resolved(every, tables, version), version).drop("asked")
 
 
-def serve(spark: SparkSession, inbox: str, snapshots: str, out: str, checkpoint: str, queue: int = QUEUE) -> StreamingQuery:
-    """Answer the request files in inbox (JSON lines) that no earlier run has: at most ``queue`` files a batch, the rest wait. Ends when all at hand are answered."""
+def serve(spark: SparkSession, inbox: str, snapshots: str, out: str, checkpoint: str, queue: int = QUEUE, results: str | None = None) -> StreamingQuery:
+    """Answer the request files in inbox (JSON lines) that no earlier run has: at most ``queue`` files a batch, the rest wait. Ends when all at hand are answered.
+
+    results: a folder in which each batch keeps every result once (method, asked, result); out then
+    has asked in place of the result, so that it grows with the requests, not with requests times results.
+    """
     lines = spark.readStream.option("maxFilesPerTrigger", queue).text(inbox)
 
     def batch(rows: DataFrame, number: int) -> None:
         version, tables = latest(rows.sparkSession, snapshots)
         held = rows.persist()  # the files of a batch are read once
-        answers(held, tables, version).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
+        if results is None:
+            replies = answers(held, tables, version)
+        else:
+            every, mine = questions(held), f"{results.rstrip('/')}/batch={number}"
+            resolved(every, tables, version).write.mode("overwrite").parquet(mine)
+            known = rows.sparkSession.read.parquet(mine).select("method", "asked", F.lit("").alias("result"))
+            replies = _replies(every, known, version).drop("result")
+        replies.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
         held.unpersist()
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
