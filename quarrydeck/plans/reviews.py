@@ -8,7 +8,7 @@ from quarrydeck.functions import parsing
 from quarrydeck.operators import audit, joins, review, summaries
 from quarrydeck.sources import config as settings
 from quarrydeck.sources import tags as tag_files
-from quarrydeck.session import dealt
+from quarrydeck.session import dealt, shuffled
 from quarrydeck.sources.adapters import table
 
 from . import change_plan, program
@@ -137,7 +137,7 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, name = F.concat(F.lit("f"), F.col("p_size").cast("string"), F.lit(".ts")), F.concat(F.lit("Box"), own.cast("string"))
     part = table(spark, sf_dir, "part")
     one = part.select(F.to_json(F.struct(F.lit("tag").alias("_type"), name.alias("name"), path.alias("path"), F.when(own % 3 == 0, "function").otherwise("class").alias("kind"), F.when(own % 3 == 0, "(a)").alias("signature"), own.alias("line"))).alias("value"))
-    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_orderkey").distinct().join(part.select("p_partkey", "p_size"), F.col("l_partkey") == own)
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_orderkey").repartition("l_partkey").distinct().join(shuffled(part.select("p_partkey", "p_size")), F.col("l_partkey") == own)
     member = rows.select(F.to_json(F.struct(F.lit("tag").alias("_type"), F.concat(F.col("l_linenumber").cast("string"), F.lit("x"), F.col("l_orderkey").cast("string")).alias("name"), path.alias("path"), F.lit("field").alias("kind"), name.alias("scope"), F.lit("class").alias("scopeKind"), F.col("l_linenumber").alias("line"))).alias("value"))
     return tag_files.tag_symbols(one.union(member))
 

@@ -17,14 +17,18 @@ def tag_symbols(lines: DataFrame) -> DataFrame:
     Members go into the signature of what is around them in the same file, in order of lines. Lines
     that aren't JSON, aren't tags, or have no name make no row.
     """
-    t = lines.select(F.from_json("value", ENTRY).alias("t")).select("t.*").where("_type = 'tag' and coalesce(name, '') <> ''")
+    # as a row of its own, so that a line is parsed once and not in every filter
+    t = lines.select(F.inline(F.array(F.from_json("value", ENTRY)))).where("_type = 'tag' and coalesce(name, '') <> ''")
     t = t.withColumn("scope", F.coalesce("scope", F.lit("")))
     inside = F.col("kind").isin(*MEMBERS) & (F.col("scope") != "")
-    parts = t.where(inside).groupBy("path", F.col("scope").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "name"))), lambda x: x["name"]).alias("parts"))
-    own = t.where(~inside).join(parts, ["path", "name"], "left")
-    holder = F.col("parts").isNotNull() & F.col("kind").isin("class", "struct", "interface", "enum", "trait")
+    part = F.when(inside, F.struct("line", "name"))
+    own = F.when(~inside, F.struct("kind", "signature", F.col("scope").alias("receiver"), "line"))
+    rows = t.where(inside.isNotNull()).select("path", F.when(inside, F.col("scope")).otherwise(F.col("name")).alias("name"), part.alias("part"), own.alias("own"))
+    by = rows.groupBy("path", "name").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.collect_list("own").alias("own"))
+    found = by.select("path", "name", F.transform("parts", lambda x: x["name"]).alias("parts"), F.inline("own"))
+    holder = F.col("path").isNotNull() & (F.size("parts") > 0) & F.col("kind").isin("class", "struct", "interface", "enum", "trait")
     signature = F.when(holder, F.concat(F.lit("{"), F.array_join("parts", ", "), F.lit("}"))).otherwise(F.coalesce("signature", F.lit("")))
-    return own.select("path", "name", "kind", signature.alias("signature"), F.col("scope").alias("receiver"), "line")
+    return found.select("path", "name", "kind", signature.alias("signature"), "receiver", "line")
 
 
 def reference_edges(symbols: DataFrame, found: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def test_simple_case_against_duckdb(spark):
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    return lambda df: df._jdf.queryExecution().executedPlan().toString()
+    return lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
 
 
 def test_a_map_broadcasts_no_table_of_its_files(spark, plans):
@@ -126,3 +126,34 @@ def test_implementations_move_no_pairs(spark, plans, monkeypatch, most):
     assert sorted(map(tuple, got.collect())) == sorted((t, i) for t, ms in methods.items() for i, ns in required.items() if ns <= ms and t != i)
     if most:
         assert "Exchange hashpartitioning(type" not in plans(got).split("BroadcastHashJoin [method")[0]
+
+
+def test_tags_are_parsed_and_moved_once(spark, plans):
+    import json
+
+    from quarrydeck.sources import tags
+
+    tag = lambda **x: json.dumps({"_type": "tag", **x})
+    lines = [tag(name="A", path="f", kind="class", line=1), tag(name="y", path="f", kind="field", scope="A", line=3), tag(name="x", path="f", kind="field", scope="A", line=2), tag(name="A", path="f", kind="function", signature="(a)", line=9), tag(name="B", path="f", kind="class", line=5), tag(name="C", kind="class", line=1), tag(name="z", kind="field", scope="C", line=2), "no json", tag(name="", path="f", kind="class"), None]
+    got = tags.tag_symbols(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("f", "A", "class", "{x, y}", "", 1), ("f", "A", "function", "(a)", "", 9), ("f", "B", "class", "", "", 5), (None, "C", "class", "", "", 1)], key=repr)
+    assert plans(got).count("Exchange ") == 1 and "Join" not in plans(got)
+
+
+def test_relevance_moves_each_pair_of_goal_and_path_once(spark, plans, monkeypatch):
+    from quarrydeck.operators import packets
+
+    files = spark.createDataFrame([("a", "red ring red", "ring"), ("b", "blue", "none"), ("c", None, "red")], "path string, content string, package string")
+    terms = spark.createDataFrame([(1, "red"), (1, "ring"), (2, "red"), (2, "x")], "goal long, term string")
+    want = [(1, "a", 11), (1, "c", 5), (2, "a", 3), (2, "c", 5)]
+    got = packets.relevance(files, terms, {"content": 3, "package": 5})
+    assert sorted(map(tuple, got.collect())) == want
+    assert plans(got).count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(packets, "BROADCAST_TERMS", 0)
+    assert sorted(map(tuple, packets.relevance(files, terms, {"content": 3, "package": 5}).collect())) == want
+
+
+def test_files_of_lines_are_gathered_once(spark, plans):
+    from quarrydeck.plans import program
+
+    assert "lineitem" not in plans(program._masked(spark, "/root/testdata/sf0.001"))
