@@ -21,14 +21,16 @@ def goal_terms(goals: DataFrame, goal: str = "goal", text: str = "text") -> Data
 def relevance(files: DataFrame, terms: DataFrame, fields: dict[str, int]) -> DataFrame:
     """goal, path, relevance: a goal's term that a field has as a token adds the field's weight. Files without any term make no row.
 
-    Files' tokens meet the distinct terms of all goals first, where they are read; only those that
-    some goal has go on.
+    Files' tokens meet the terms of all goals where they are read; if these are too many, their
+    distinct terms, and only the tokens that some goal has go on.
     """
+    few = terms.count() <= BROADCAST_TERMS
     known = terms.select("term").distinct()
-    if known.count() <= BROADCAST_TERMS:
-        known = F.broadcast(known)
     of = lambda f: F.transform(F.array_distinct(goal_tokens(F.coalesce(F.col(f), F.lit("")))), lambda t: F.struct(t.alias("term"), F.lit(fields[f]).alias("w")))
     tokens = files.select("path", F.inline_outer(F.concat(*[of(f) for f in fields]))).where("term is not null")
+    if few:
+        return tokens.join(F.broadcast(terms), "term").groupBy("goal", "path").agg(F.sum("w").cast("long").alias("relevance"))
+    known = F.broadcast(known) if known.count() <= BROADCAST_TERMS else known
     mine = tokens.join(known, "term").groupBy("path", "term").agg(F.sum("w").alias("w"))
     return mine.join(terms, "term").groupBy("goal", "path").agg(F.sum("w").cast("long").alias("relevance"))
 
