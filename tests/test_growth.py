@@ -157,3 +157,20 @@ def test_files_of_lines_are_gathered_once(spark, plans):
     from quarrydeck.plans import program
 
     assert "lineitem" not in plans(program._masked(spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("most", [1_000_000, 20, 0])
+def test_method_sets_move_what_is_declared_once_a_block(spark, plans, monkeypatch, most):
+    import test_dispatch as td
+
+    from quarrydeck.operators import dispatch
+
+    monkeypatch.setattr(dispatch, "BLOCK_ROWS", most)
+    monkeypatch.setattr(dispatch, "CELLS", 40)
+    methods, embeds, fields = td.program(6)
+    embeds += [(f"U{k}", "T1", False) for k in range(20)]
+    got = dispatch.method_sets(spark.createDataFrame(methods, td.METHODS), spark.createDataFrame(embeds, td.EMBEDS), spark.createDataFrame(fields, "type string, name string"))
+    rows = [tuple(r) for r in got.select("type", "name", "signature", "owner", "depth", "by_pointer").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == td.set_loop(methods, embeds, fields)
+    if most == 1_000_000:
+        assert "hashpartitioning(root" not in plans(got) and "hashpartitioning(type#" not in plans(got).split("hashpartitioning(block")[0]
