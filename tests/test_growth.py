@@ -174,3 +174,24 @@ def test_method_sets_move_what_is_declared_once_a_block(spark, plans, monkeypatc
     assert len(rows) == len(set(rows)) and set(rows) == td.set_loop(methods, embeds, fields)
     if most == 1_000_000:
         assert "hashpartitioning(root" not in plans(got) and "hashpartitioning(type#" not in plans(got).split("hashpartitioning(block")[0]
+
+
+@pytest.mark.parametrize("wide, most", [(2_000, 2), (2_000, 5), (1, 5)])
+def test_types_meet_only_interfaces_whose_pairs_they_have(spark, plans, monkeypatch, wide, most):
+    import random
+
+    from quarrydeck.operators import dispatch
+
+    monkeypatch.setattr(dispatch, "WIDE", wide)
+    rng = random.Random(7)
+    sets = [(f"T{t}", f"m{m}", rng.choice(["a", "b"]), rng.random() < 0.3) for t in range(30) for m in rng.sample(range(12), rng.randrange(8))]
+    required = [(f"I{i}", f"m{rng.randrange(12)}", rng.choice(["a", "b", None])) for i in range(80) for _ in range(1 + i % most)]
+    has, need = {}, {}
+    for t, m, s, p in sets:
+        has.setdefault(t, {})[m, s] = p
+    for i, m, s in required:
+        need.setdefault(i, set()).add((m, s or ""))
+    want = sorted((t, i, not any(ms[x] for x in xs)) for t, ms in has.items() for i, xs in need.items() if xs <= set(ms))
+    got = dispatch.satisfying(spark.createDataFrame(sets, "type string, name string, signature string, by_pointer boolean"), spark.createDataFrame(required, "interface string, name string, signature string"))
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 10
+    assert most > 2 or wide < 9 or "MapInArrow" in plans(got)
