@@ -195,3 +195,16 @@ def test_types_meet_only_interfaces_whose_pairs_they_have(spark, plans, monkeypa
     got = dispatch.satisfying(spark.createDataFrame(sets, "type string, name string, signature string, by_pointer boolean"), spark.createDataFrame(required, "interface string, name string, signature string"))
     assert sorted(map(tuple, got.collect())) == want and len(want) > 10
     assert most > 2 or wide < 9 or "MapInArrow" in plans(got)
+
+
+def test_runs_of_empty_lines_are_told_once():
+    from quarrydeck.functions import parsing
+
+    text = "\n" * 30 + "package p\n" + "\n" * 5000 + "// A does\n\n// it.\nfunc A(\n\n\n\n\n\n\n\n\n\n\n\ta int,\n) {\n" + "\n" * 20 + "}\n\n\ntype B struct {\n\tX int\n}\n" + "\n" * 40
+    lines = text.split("\n")
+    told = list(parsing._logical(text, lines, parsing.code_lines(text, "go"), "go", parsing._runs(text)))
+    assert len(told) < 30 and all(lines[n - 1] == line for n, line, _ in told if "func" not in line)
+    found = [(s["name"], s["signature"], s["line"], s["end_line"], s["doc"]) for s in parsing.parse("go", text).symbols]
+    at = lines.index("func A(") + 1
+    assert found == [("A", "(a int)", at, at + 33, "it."), ("B", "{X int}", lines.index("type B struct {") + 1, lines.index("type B struct {") + 3, "")]
+    assert parsing.parse("go", "/* a" + "\n" * 12 + "b */\nfunc C() {}\n").symbols[0]["line"] == 14
