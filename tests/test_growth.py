@@ -208,3 +208,11 @@ def test_runs_of_empty_lines_are_told_once():
     at = lines.index("func A(") + 1
     assert found == [("A", "(a int)", at, at + 33, "it."), ("B", "{X int}", lines.index("type B struct {") + 1, lines.index("type B struct {") + 3, "")]
     assert parsing.parse("go", "/* a" + "\n" * 12 + "b */\nfunc C() {}\n").symbols[0]["line"] == 14
+
+
+def test_files_made_from_rows_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
+    from quarrydeck import session
+
+    assert session.dealt(spark.range(100), "id").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "DEALT_ROWS", 2)
+    assert session.dealt(spark.range(100), "id").rdd.getNumPartitions() == 50
