@@ -29,7 +29,11 @@ MODEL = "piece_bpe_32k.model"
 SAMPLE = 800
 ROUNDS = 3
 #: Words in one of the two generations of a worker's memo.
-MEMO = 100_000
+MEMO = 60_000
+#: Characters of a fit's words, and of a worker's, that are in one table of segmentations at a time.
+FIT_CELLS, CELLS = 200_000, 50_000
+#: Code points of the texts whose words a worker holds at a time (or one text).
+HELD = 500_000
 #: Positions after which sums are rescaled, and the word length up to which they need not be.
 RESCALE, SHORT = 8, 16
 
@@ -102,13 +106,13 @@ class Segments:
         first[first == self.none] = self.unknown
         return table
 
-    def tables(self, words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
-        """Positions of the words of one length, and their pieces by (word, start, piece length - 1)."""
+    def tables(self, words: list[str], cells: int = FIT_CELLS) -> Iterator[tuple[list[int], np.ndarray]]:
+        """Positions of the words of one length, and their pieces by (word, start, piece length - 1), for about ``cells`` characters at a time."""
         by: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             by.setdefault(len(w) + 1, []).append(k)
         for n, at in sorted(by.items()):
-            most = max(1, 200_000 // n)
+            most = max(1, cells // n)
             for part in (at[k : k + most] for k in range(0, len(at), most)):
                 yield part, self._table([words[k] for k in part], n)
 
@@ -179,7 +183,7 @@ class Scorer:
         out = np.zeros((len(new), self.p.shape[1]))
         out[known >= 0] = values[known[known >= 0]]
         fresh = np.nonzero(known < 0)[0]
-        for positions, table in self.segments.tables([new[k] for k in fresh]):
+        for positions, table in self.segments.tables([new[k] for k in fresh], CELLS):
             out[fresh[positions]] = self.segments.logs(table, self.p)
         self.at.update(zip(new, range(len(self.values), len(self.values) + len(new)), strict=True))
         self.values = np.vstack([self.values, out])
@@ -251,6 +255,19 @@ def training_counts(df: DataFrame, text: str, lang: str, key: str, sample: int =
     return {k: dict(sorted(c.items())) for k, c in counts.items()}
 
 
+def _slices(texts: list[str | None], held: int) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of ``held`` code points at most or of one text."""
+    part, n = [], 0
+    for t in texts:
+        if part and n + len(t or "") > held:
+            yield part
+            part, n = [], 0
+        part.append(t)
+        n += len(t or "")
+    if part:
+        yield part
+
+
 def with_language(df: DataFrame, model: tuple[list[str], tuple[str, ...], np.ndarray], text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """df with the predicted language and its posterior (0 to 1).
 
@@ -268,17 +285,18 @@ def with_language(df: DataFrame, model: tuple[list[str], tuple[str, ...], np.nda
         scorer = Scorer(pieces, p)
         for b in batches:
             preds, scores = [], []
-            found = [words(t) if t and langs else [] for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            scorer.learn(set().union(*found))
-            for ws in found:
-                if not ws:
-                    preds.append("und")
-                    scores.append(0.0)
-                    continue
-                ll = scorer.score(ws) * min(1.0, 64 / len(ws))
-                k = int(ll.argmax())
-                preds.append(langs[k])
-                scores.append(float(1 / np.exp(np.minimum(ll - ll[k], 0)).sum()))
+            for part in _slices(b.column(b.schema.get_field_index(text)).to_pylist(), HELD):
+                found = [words(t) if t and langs else [] for t in part]
+                scorer.learn(set().union(*found))
+                for ws in found:
+                    if not ws:
+                        preds.append("und")
+                        scores.append(0.0)
+                        continue
+                    ll = scorer.score(ws) * min(1.0, 64 / len(ws))
+                    k = int(ll.argmax())
+                    preds.append(langs[k])
+                    scores.append(float(1 / np.exp(np.minimum(ll - ll[k], 0)).sum()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, lang_out, score_out])
 
     return df.mapInArrow(run, schema)

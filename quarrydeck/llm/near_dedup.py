@@ -33,7 +33,8 @@ HALF, ROWS, HASHES = 8, 2, 64
 BLOCK = 512
 #: Rows of ids up to which they are broadcast (16 MB); beyond, a shuffle join is used.
 BROADCAST_ROWS = 1_000_000
-MEMO = 300_000
+#: Words in a worker's memo of hashes, which outlives its tasks (some 10 MB).
+MEMO = 50_000
 
 _U = np.uint64
 

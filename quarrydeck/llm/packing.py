@@ -30,8 +30,8 @@ END_ID = 2
 CAPACITY = 4096
 GROUP = 256
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-#: Entries of one of the two generations of a worker's memo of encoded words.
-MEMO = 400_000
+#: Entries of one of the two generations of a worker's memo of encoded words, which outlives its tasks (some 15 MB each).
+MEMO = 60_000
 
 #: Characters for which the short cut splits as the tokenizer does: ASCII without the separators that only Python takes for white space, and Latin letters up to U+024F without the one that lower-cases to two characters.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-įı-ɏ]*")

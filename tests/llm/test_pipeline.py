@@ -95,3 +95,30 @@ def test_a_kept_ledger_is_read_and_added_to(spark, tmp_path):
         assert spark.read.parquet(f"{tmp_path}/ledger").count() == 2
     finally:
         spark.conf.unset("spark.quarrydeck.secretLedger")
+
+
+def test_what_a_worker_keeps_between_stages_is_small():
+    import tracemalloc
+
+    from quarrydeck.llm import near_dedup, packing
+
+    texts = [" ".join(f"w{k}x" for k in range(at, at + 1000)) for at in range(0, 300_000, 1000)]
+    encode = packing.encoder.__wrapped__()  # a worker's own, which nothing has filled
+    near_dedup._WORD.clear()
+    for use, most in ((near_dedup.shingles, 20), (encode, 40)):
+        use("warm up")
+        tracemalloc.start()
+        for t in texts:
+            use(t)
+        kept = tracemalloc.get_traced_memory()[0] / 1e6
+        tracemalloc.stop()
+        assert kept < most, (use, kept)
+    near_dedup._WORD.clear()
+
+
+def test_words_of_few_texts_are_held_at_a_time():
+    from quarrydeck.llm import lang_id
+
+    texts = ["a" * 3, None, "", "b" * 9, "c" * 2, "d" * 2, "e" * 4]
+    assert list(lang_id._slices(texts, 5)) == [["aaa", None, ""], ["b" * 9], ["cc", "dd"], ["eeee"]]
+    assert list(lang_id._slices([], 5)) == []
