@@ -216,3 +216,27 @@ def test_files_made_from_rows_are_dealt_to_more_tasks_as_they_grow(spark, monkey
     assert session.dealt(spark.range(100), "id").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
     monkeypatch.setattr(session, "DEALT_ROWS", 2)
     assert session.dealt(spark.range(100), "id").rdd.getNumPartitions() == 50
+
+
+@pytest.mark.parametrize("rows, cells", [(50_000, 2_000_000), (1, 1), (7, 100)])
+def test_implementations_are_counted_without_a_table_of_pairs(spark, plans, monkeypatch, rows, cells):
+    import random
+
+    from quarrydeck.operators import callers
+
+    monkeypatch.setattr(callers, "TYPE_ROWS", rows)
+    monkeypatch.setattr(callers, "CELLS", cells)
+    rng = random.Random(4)
+    have = [(f"t{rng.randrange(25)}", f"m{rng.randrange(9)}") for _ in range(300)] + [("i1", "m0"), ("i1", "m1"), ("i1", "m2"), (None, "m1"), ("t1", None), ("t2", "other")]
+    need = [(f"i{rng.randrange(40)}", f"m{rng.randrange(9)}") for _ in range(90)] + [("i1", "m0"), ("n", None), ("n", "m1"), (None, "m1"), ("only", None)]
+    got = callers.implementations(spark.createDataFrame(have, "type string, method string").repartition(3), spark.createDataFrame(need, "interface string, method string"))
+    methods, required = {}, {}
+    for t, m in have:
+        methods.setdefault(t, set()).add(m)
+    for i, m in need:
+        required.setdefault(i, set()).add(m)
+    want = sorted((t, i) for t, ms in methods.items() for i, ns in required.items() if t and i and None not in ns and ns <= ms and t != i)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 50
+    assert not [x for x in plans(got).splitlines() if "Aggregate(keys=[type" in x and "interface" in x]
+    empty = spark.createDataFrame([], "interface string, method string")
+    assert callers.implementations(spark.createDataFrame(have, "type string, method string"), empty).count() == 0
