@@ -240,3 +240,52 @@ def test_implementations_are_counted_without_a_table_of_pairs(spark, plans, monk
     assert not [x for x in plans(got).splitlines() if "Aggregate(keys=[type" in x and "interface" in x]
     empty = spark.createDataFrame([], "interface string, method string")
     assert callers.implementations(spark.createDataFrame(have, "type string, method string"), empty).count() == 0
+
+
+@pytest.mark.parametrize("most, seed", [(1_000_000, 1), (60, 3), (0, 4)])
+def test_blocks_tell_what_is_satisfied_and_called_without_method_sets(spark, monkeypatch, most, seed):
+    import random
+
+    import test_dispatch as td
+
+    from quarrydeck.operators import dispatch
+
+    monkeypatch.setattr(dispatch, "BLOCK_ROWS", most)
+    monkeypatch.setattr(dispatch, "BLOCK_TYPES", 10)
+    rng = random.Random(seed)
+    methods, embeds, fields = td.program(seed)
+    methods += [(f"T{rng.randrange(30)}", f"m{k % 12}", "()", False) for k in range(60)]
+    required = [(f"I{i}", f"m{rng.randrange(12)}", rng.choice(["()", "(int)", None])) for i in range(40) for _ in range(1 + i % 3)] + [("I1", None, "()"), (None, "m1", "()")]
+    calls = [(f"f{rng.randrange(12)}", f"I{rng.randrange(42)}", f"m{rng.randrange(13)}", True) for _ in range(150)] + [(f"f{rng.randrange(12)}", i, n, True) for i, n, _ in required]
+    calls += [(f"f{rng.randrange(12)}", f"T{rng.randrange(31)}", f"m{rng.randrange(13)}", rng.choice([False, None])) for _ in range(150)] + [(None, "T1", "m1", False), (None, "I2", "m1", True), ("f1", None, "m1", True)]
+    built = spark.createDataFrame([(f"T{i}",) for i in range(0, 30, 2)], "type string")
+    m, e, f = spark.createDataFrame(methods, td.METHODS), spark.createDataFrame(embeds, td.EMBEDS), spark.createDataFrame(fields, "type string, name string")
+    r, c = spark.createDataFrame(required, "interface string, name string, signature string"), spark.createDataFrame(calls, "caller string, receiver string, name string, dynamic boolean")
+    have, need = {}, {}
+    for t, n, s, o, _, p in td.set_loop(methods, embeds, fields):
+        have.setdefault(t, {})[n] = (s, o, p)
+    for i, n, s in required:
+        need.setdefault(i, set()).add((n, s or ""))
+    ok = {(t, i): not any(xs[n][2] for n, _ in ns) for t, xs in have.items() for i, ns in need.items() if i and all(n in xs and xs[n][0] == s for n, s in ns)}
+    got = dispatch.satisfied(m, e, r, f)
+    assert sorted(map(tuple, got.collect())) == sorted((t, i, by) for (t, i), by in ok.items()) and len(ok) > 30
+    for some in (built, None):
+        made = {f"T{i}" for i in range(0, 30, 2)} if some is not None else set(have)
+        runs = {(x, t, n, have[t][n][1], i) for x, i, n, dyn in calls if dyn for t, j in ok if i == j and t in made and n in have[t]}
+        runs |= {(x, t, n, have[t][n][1], None) for x, t, n, dyn in calls if not dyn and n in have.get(t, ())}
+        want = {}
+        for x, t, n, o, i in runs:
+            for k, v in enumerate((x, t, i)):
+                want.setdefault((o, n), (set(), set(), set()))[k].update({v} - {None})
+        got = dispatch.dispatched_counts(c, m, e, r, f, some)
+        assert sorted(map(tuple, got.collect())) == sorted((*k, *map(len, v)) for k, v in want.items()) and len(want) > 30
+
+
+@pytest.mark.parametrize("name", ["e97_satisfied"])
+def test_no_method_sets_are_moved_to_be_compared(spark, plans, name):
+    folder = "/root/testdata/sf0.001"
+    got = entry.queries()[name](spark, folder)
+    above = plans(got).split("FlatMapGroupsInArrow")[0]
+    assert "ScanExistingRDD" not in above and "Exchange hashpartitioning(type" not in above and "FlatMapGroupsInArrow" in plans(got)
+    got, want = against_sql(spark, name, folder, ["part", "lineitem", "orders"])
+    assert got == want and len(got) > 100
