@@ -281,7 +281,7 @@ def test_blocks_tell_what_is_satisfied_and_called_without_method_sets(spark, mon
         assert sorted(map(tuple, got.collect())) == sorted((*k, *map(len, v)) for k, v in want.items()) and len(want) > 30
 
 
-@pytest.mark.parametrize("name", ["e97_satisfied"])
+@pytest.mark.parametrize("name", ["e97_satisfied", "e98_dispatched"])
 def test_no_method_sets_are_moved_to_be_compared(spark, plans, name):
     folder = "/root/testdata/sf0.001"
     got = entry.queries()[name](spark, folder)
