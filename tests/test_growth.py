@@ -289,3 +289,37 @@ def test_no_method_sets_are_moved_to_be_compared(spark, plans, name):
     assert "ScanExistingRDD" not in above and "Exchange hashpartitioning(type" not in above and "FlatMapGroupsInArrow" in plans(got)
     got, want = against_sql(spark, name, folder, ["part", "lineitem", "orders"])
     assert got == want and len(got) > 100
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_co_change_counts_where_the_pairs_are(spark, plans, monkeypatch, kind):
+    import random
+    from itertools import combinations
+
+    import pyarrow as pa
+
+    from quarrydeck.operators import changes
+
+    monkeypatch.setattr(changes, "BLOCK_ITEMS", 12)
+    rng = random.Random(3)
+    name = int if kind == "long" else (lambda k: f"ü{k}")
+    rows = [(name(k), f"g{g}") for g in range(30) for k in rng.sample(range(150), rng.choice([1, 3, 60, 140]))]
+    n = {}
+    for g in {g for _, g in rows}:
+        for p in combinations(sorted({i for i, x in rows if x == g}, key=lambda i: i if kind == "long" else i.encode()), 2):
+            n[p] = n.get(p, 0) + 1
+    got = changes.co_change(spark.createDataFrame(rows + rows[:50] + [(None, "g1")], f"item {kind}, g string").repartition(5), "g", "item", 4)
+    assert sorted(map(tuple, got.collect())) == sorted((*p, k) for p, k in n.items() if k >= 4)
+    for kept, cells in ((1, 1), (50, 30)):
+        monkeypatch.setattr(changes, "KEPT", kept)
+        monkeypatch.setattr(changes, "CELLS", cells)
+        cell, some = changes._Cell(False), {}
+        for k in range(0, 30, 3):
+            xs, ys = ([[name(rng.randrange(9) + 9 * side) for _ in range(1)] + [name(20 + side)] for _ in range(3)] for side in (0, 1))
+            for x, y in zip(xs, ys, strict=True):
+                for p in ((a, b) for a in x for b in y):
+                    some[p] = some.get(p, 0) + 1
+            cell.add(pa.array(xs), pa.array(ys))
+        found = {(r["u"], v): r["n"] for b in cell.pairs(2) for r in b.to_pylist() for v in r["y"]}
+        assert found == {p: k for p, k in some.items() if k >= 2}
+    assert "Aggregate" not in plans(got).split("MapInArrow")[0] and got.schema["n"].dataType.simpleString() == "bigint"
